@@ -1,0 +1 @@
+"""Empty on purpose: the log is a finite file and every output is a whole table."""
