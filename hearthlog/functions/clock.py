@@ -32,8 +32,13 @@ def event_time(date: Column, time: Column, strict: bool = True) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    """Whole microseconds since 1970."""
-    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
+    """Whole microseconds since 1970.
+
+    By way of an interval: TIMESTAMPDIFF and UNIX_MICROS would read the time in the
+    session zone and move hours that a change to summer time skips.
+    """
+    seconds = (ts - _epoch()).cast("interval second").cast("decimal(18,6)")
+    return (seconds * MICROS_PER_SECOND).cast("bigint")
 
 
 def epoch_seconds(ts: Column) -> Column:

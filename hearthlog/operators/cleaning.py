@@ -46,27 +46,28 @@ def debounce(
     undated = F.col(ts).isNull() | F.col(sensor).isNull()
     rest = [c for c in log.columns if c not in (ts, sensor, *tie)]
     dated = log.where(~undated).select(
-        sensor, micros(F.col(ts)).alias("_now"), F.struct(ts, *tie, *rest).alias("_row")
+        sensor,
+        F.col(ts).alias("_time"),
+        F.struct(ts, *tie, *rest).alias("_row"),
+        F.window(ts, f"{width} microseconds").alias("_cell"),
     )
-    cell = F.col("_now") - F.pmod("_now", F.lit(width))
     no_row = F.lit(None).cast(dated.schema["_row"].dataType)
-    no_time = F.lit(None).cast("bigint")
+    no_time = F.lit(None).cast("timestamp_ntz")
     # Each reading counts in its own cell, and as the predecessor in the next one.
-    entries = dated.select(
-        sensor,
-        F.stack(
-            F.lit(2),
-            *(cell, F.col("_row"), no_time),
-            *(cell + F.lit(width), no_row, F.col("_now")),
-        ).alias("_cell", "_row", "_earlier"),
+    own = F.struct(
+        F.col("_cell.start").alias("cell"), F.col("_row").alias("row"), no_time.alias("earlier")
     )
-    cells = entries.groupBy(sensor, "_cell").agg(
-        F.min("_row").alias("_row"), F.max("_earlier").alias("_earlier")
+    later = F.struct(
+        F.col("_cell.end").alias("cell"), no_row.alias("row"), F.col("_time").alias("earlier")
     )
-    kept = cells.where(
-        F.col("_row").isNotNull()
-        & (F.col("_earlier").isNull() | (micros(F.col(f"_row.{ts}")) - F.col("_earlier") >= width))
+    # The cell leads the key: times sort faster than labels that are often equal.
+    cells = (
+        dated.select(sensor, F.explode(F.array(own, later)).alias("_entry"))
+        .groupBy("_entry.cell", sensor)
+        .agg(F.min("_entry.row").alias("_row"), F.max("_entry.earlier").alias("_earlier"))
     )
+    gap = micros(F.col(f"_row.{ts}")) - micros(F.col("_earlier"))
+    kept = cells.where(F.col("_row").isNotNull() & (gap.isNull() | (gap >= width)))
     return kept.select(
         *[F.col(sensor) if c == sensor else F.col(f"_row.{c}").alias(c) for c in log.columns]
     ).unionByName(log.where(undated))

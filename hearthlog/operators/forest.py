@@ -6,17 +6,22 @@ threshold) and ``2i+2``. Its size is fixed by the sub-sample, not by the data.
 """
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlog.operators.labels import FEATURES
 from hearthlog.settings import SAMPLE_PER_TREE, TREES
 
+# Workers need not have this package: what they run travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EULER_GAMMA = 0.5772156649
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, path double"
 
@@ -139,6 +144,28 @@ def _full_trees(forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
     return feature, threshold, path, depth
 
 
+def mean_path(
+    rows: np.ndarray, feature: np.ndarray, threshold: np.ndarray, path: np.ndarray, depth: int
+) -> np.ndarray:
+    """Path length of every row, averaged over the trees: all rows take a step at once."""
+    count, width = rows.shape
+    values, start = np.ascontiguousarray(rows).ravel(), np.arange(count) * width
+    node, at = np.empty(count, dtype=np.int64), np.empty(count, dtype=np.int64)
+    value, cut, total = np.empty(count), np.empty(count), np.zeros(count)
+    for tree_feature, tree_threshold, tree_path in zip(feature, threshold, path):
+        node.fill(0)
+        for _ in range(depth):
+            tree_feature.take(node, out=at, mode="clip")
+            at += start
+            values.take(at, out=value, mode="clip")
+            tree_threshold.take(node, out=cut, mode="clip")
+            node += node
+            node += 1
+            node += value >= cut
+        total += tree_path.take(node)
+    return total / len(feature)
+
+
 def with_forest_score(points: DataFrame, forest: Forest, name: str = "iforest_score") -> DataFrame:
     """Add the score ``0.5 - s``: the lower, the more unusual. Null if a feature is null."""
     if forest.nodes.empty:
@@ -147,20 +174,11 @@ def with_forest_score(points: DataFrame, forest: Forest, name: str = "iforest_sc
     scale = average_path(forest.psi) or 1.0
 
     def score_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        feature, threshold, path, depth = model.value
+        trees = model.value
         for batch in batches:
-            columns = np.stack([c.to_numpy(dtype=float) for c in batch])
-            count = columns.shape[1]
-            flat, row = columns.ravel(), np.arange(count)
-            total = np.zeros(count)
-            for f, cut, length in zip(feature, threshold, path):
-                node = np.zeros(count, dtype=np.int64)
-                for _ in range(depth):
-                    right = flat.take(f.take(node) * count + row) >= cut.take(node)
-                    node = 2 * node + 1 + right
-                total += length.take(node)
-            score = 0.5 - np.exp2(-total / (len(feature) * scale))
-            score[np.isnan(columns).any(axis=0)] = np.nan
+            rows = np.stack([c.to_numpy(dtype=float) for c in batch], axis=1)
+            score = 0.5 - np.exp2(-mean_path(rows, *trees) / scale)
+            score[np.isnan(rows).any(axis=1)] = np.nan
             yield pd.Series(score)
 
     udf = F.pandas_udf(_typed(score_batches), "double")

@@ -5,11 +5,15 @@ with the number of sensors or transitions, so neither a blind broadcast nor a
 plain shuffle is safe.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlog.staging import stage
+
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-SALTS = 64
 
 
 def measured_bytes(facts: DataFrame) -> int:
@@ -27,19 +31,43 @@ def lookup(
     on: list[str],
     how: str = "left",
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``log`` with ``facts`` on equal keys.
 
     Facts measured at no more than ``limit_bytes`` are broadcast and the log is
-    not shuffled. Larger ones are repeated once per salt, so that the rows of a
-    hot key are spread over ``salts`` partitions; the salt is a hash of the whole
-    row and stays the same when a task is run again.
+    not shuffled. Larger ones meet the log in a shuffle with salted hot keys.
     """
     if measured_bytes(facts) <= limit_bytes:
         return log.join(F.broadcast(facts), on, how)
-    salted_log = log.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in log.columns]), F.lit(salts)).cast("int")
+    return _salted_join(log, facts, on, how)
+
+
+def _salted_join(log: DataFrame, facts: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Spread each key with more rows than an average partition over several.
+
+    There are fewer such keys than partitions, so their table is broadcast, and
+    only their facts are repeated. The salt is a hash of the whole row and stays
+    the same when a task is run again. Rows with a null key match nothing and are
+    spread over all partitions.
+    """
+    partitions = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stage(log.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows")), "key_counts")
+    fair_share = (counts.agg(F.sum("_rows")).first()[0] or 0) / partitions
+    hot = counts.where(F.col("_rows") > fair_share).select(
+        *on, F.ceil(F.col("_rows") / F.lit(max(fair_share, 1.0))).cast("int").alias("_salts")
+    )
+    spread = F.pmod(
+        F.xxhash64(*[F.col(c) for c in log.columns]),
+        F.when(reduce(or_, [F.col(c).isNull() for c in on]), F.lit(partitions)).otherwise(
+            F.coalesce("_salts", F.lit(1))
+        ),
+    )
+    last_salt = F.coalesce("_salts", F.lit(1)) - 1
+    salted_log = log.join(F.broadcast(hot), on, "left").withColumn("_salt", spread.cast("int"))
+    salted_facts = facts.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), last_salt))
+    )
+    joined = salted_log.drop("_salts").join(
+        salted_facts.drop("_salts").hint("merge"), [*on, "_salt"], how
     )
-    salted_facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_log.join(salted_facts.hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return joined.drop("_salt")
