@@ -60,7 +60,7 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple[int, i
         if depth == limit or len(varying) == 0:
             nodes.append((node, -1, 0.0, depth + average_path(len(part))))
             continue
-        feature = int(rng.choice(varying))
+        feature = int(varying[rng.integers(len(varying))])
         # in (low, high], so that neither side is empty
         threshold = low[feature] + (high[feature] - low[feature]) * (1.0 - rng.random())
         if not low[feature] < threshold <= high[feature]:
@@ -118,8 +118,12 @@ def fit_forest(
             tree=int(tree[0])
         )[["tree", "node", "feature", "threshold", "path"]]
 
+    # The sample is small in bytes but not in work: without a number of partitions
+    # all trees would be merged into one task.
+    tasks = min(trees, points.sparkSession.sparkContext.defaultParallelism)
+    spread = sample.repartition(tasks, "tree")
     # At most trees x (2 x sample - 1) nodes, whatever the size of the data.
-    nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    nodes = spread.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     return Forest(nodes.sort_values(["tree", "node"], ignore_index=True), psi, tuple(names))
 
 
@@ -128,19 +132,21 @@ def _full_trees(forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
     carried down to the last level so that all walks have the same length."""
     depth = forest.depth
     size = 2 ** (depth + 1) - 1
-    trees = sorted(forest.nodes["tree"].unique())
-    feature = np.zeros((len(trees), size), dtype=np.int64)
-    threshold = np.full((len(trees), size), np.inf)
-    path = np.zeros((len(trees), size))
-    for number, tree in enumerate(trees):
-        rows = forest.nodes[forest.nodes["tree"] == tree]
-        for node, f, cut, length in rows[["node", "feature", "threshold", "path"]].itertuples(index=False):
-            if f >= 0:
-                feature[number, node], threshold[number, node] = f, cut
-                continue
-            while node < size:
-                path[number, node] = length
-                node = 2 * node + 1
+    names, tree = np.unique(forest.nodes["tree"].to_numpy(), return_inverse=True)
+    node, split, cut, length = (
+        forest.nodes[c].to_numpy() for c in ("node", "feature", "threshold", "path")
+    )
+    feature = np.zeros((len(names), size), dtype=np.int64)
+    threshold = np.full((len(names), size), np.inf)
+    path = np.zeros((len(names), size))
+    inner = split >= 0
+    feature[tree[inner], node[inner]] = split[inner]
+    threshold[tree[inner], node[inner]] = cut[inner]
+    tree, node, length = tree[~inner], node[~inner], length[~inner]
+    while len(node):
+        path[tree, node] = length
+        node = 2 * node + 1
+        tree, node, length = tree[node < size], node[node < size], length[node < size]
     return feature, threshold, path, depth
 
 

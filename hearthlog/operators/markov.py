@@ -28,6 +28,21 @@ def transition_table(log_with_next: DataFrame, sensor: str = "sensor") -> DataFr
     return counts.withColumn("p", F.col("n") / total)
 
 
+def fit_transitions(log_with_next: DataFrame, sensor: str = "sensor") -> DataFrame:
+    """The transition table, computed once and kept."""
+    return stage(transition_table(log_with_next, sensor), "transitions")
+
+
+def with_transition_prob(
+    log_with_next: DataFrame, transitions: DataFrame, sensor: str = "sensor"
+) -> DataFrame:
+    """Add ``markov_prob``: the probability of the transition out of each reading."""
+    facts = transitions.select(sensor, "next_sensor", F.col("p").alias("markov_prob"))
+    return lookup(log_with_next, facts, [sensor, "next_sensor"]).select(
+        *log_with_next.columns, "markov_prob"
+    )
+
+
 def with_markov_prob(log: DataFrame, order: list[str], sensor: str = "sensor") -> DataFrame:
     """Add ``next_sensor`` and ``markov_prob``.
 
@@ -35,10 +50,4 @@ def with_markov_prob(log: DataFrame, order: list[str], sensor: str = "sensor") -
     next one is null. ``order`` should tell any two readings apart.
     """
     ordered = with_next_sensor(log, order, sensor)
-    table = stage(
-        transition_table(ordered, sensor).select(sensor, "next_sensor", F.col("p").alias("markov_prob")),
-        "transitions",
-    )
-    return lookup(ordered, table, [sensor, "next_sensor"]).select(
-        *log.columns, "next_sensor", "markov_prob"
-    )
+    return with_transition_prob(ordered, fit_transitions(ordered, sensor), sensor)

@@ -13,8 +13,8 @@ from hearthlog.operators.days import (
     tile_raster,
 )
 from hearthlog.operators.forest import fit_forest, with_forest_score
-from hearthlog.operators.labels import with_cyclical, with_label_code
-from hearthlog.operators.markov import with_markov_prob
+from hearthlog.operators.labels import with_features
+from hearthlog.operators.markov import fit_transitions, with_next_sensor, with_transition_prob
 from hearthlog.operators.reports import point_anomalies
 from hearthlog.settings import Settings
 from hearthlog.sources.metadata import read_metadata
@@ -44,10 +44,13 @@ def prepare_data(
 
 
 def score(log: DataFrame, order: list[str] = LOG_ORDER, settings: Settings = Settings()) -> DataFrame:
-    """Add features and both scores. Every score is computed in the lineage of its
-    reading, so none has to be joined back."""
-    ordered = with_markov_prob(log, order)
-    featured = with_label_code(with_cyclical(ordered, period_seconds=settings.period_seconds))
+    """Add features and both scores.
+
+    Each score is computed in the lineage of its reading, so none has to be joined
+    back. The log is laid out in order once; both fits and the scoring read that.
+    """
+    ordered = with_next_sensor(log, order)
+    featured = with_features(ordered, period_seconds=settings.period_seconds)
     forest = fit_forest(
         featured,
         order,
@@ -55,7 +58,8 @@ def score(log: DataFrame, order: list[str] = LOG_ORDER, settings: Settings = Set
         sample_per_tree=settings.sample_per_tree,
         seed=settings.forest_seed,
     )
-    return with_forest_score(featured, forest).select(
+    likely = with_transition_prob(featured, fit_transitions(ordered))
+    return with_forest_score(likely, forest).select(
         *log.columns, "sinTransform", "cosTransform", MARKOV, FOREST
     )
 

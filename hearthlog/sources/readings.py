@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlog.functions.clock import event_time
+from hearthlog.operators.lookup import lookup
 
 RAW_SCHEMA = "event string, date string, time string, sensor string"
 RAW_COLUMNS = ("event", "date", "time", "sensor")
@@ -21,15 +22,24 @@ MISSING_TEXTS = [
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """``event, date, time, sensor`` as text, with the place of each row in the input.
 
-    The row number counts within a scan task, so it orders the rows of a block.
+    Files count in the order of their paths. The row number counts within a scan
+    task, so it orders the rows of a block.
     """
     raw = spark.read.schema(RAW_SCHEMA).option("escape", '"').csv(path)
-    return raw.select(
+    placed = raw.select(
         *[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c) for c in RAW_COLUMNS],
-        F.col("_metadata.file_path").alias("input_file"),
+        F.input_file_name().alias("_path"),
         F.col("_metadata.file_block_start").alias("input_block"),
         F.monotonically_increasing_id().alias("input_row"),
     )
+    # A number instead of the path: it goes through every shuffle of the log.
+    files = sorted(raw.inputFiles())
+    if len(files) > 1:
+        numbers = spark.createDataFrame(list(enumerate(files)), "input_file int, _path string")
+        placed = lookup(placed, numbers, ["_path"])
+    else:
+        placed = placed.withColumn("input_file", F.lit(0))
+    return placed.select(*RAW_COLUMNS, *INPUT_ORDER)
 
 
 def with_event_time(raw: DataFrame, strict: bool = True) -> DataFrame:

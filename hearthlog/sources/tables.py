@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthlog.operators.reports import in_time_order
 
@@ -35,7 +36,7 @@ def write_report(anomalies: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str, signal: str) -> DataFrame:
-    schema = f"dt timestamp_ntz, sensor string, {signal} double"
+    schema = T.StructType.fromDDL("dt timestamp_ntz, sensor string").add(signal, "double")
     reader = spark.read.schema(schema).option("header", True)
     return reader.option("timestampNTZFormat", REPORT_TIME).csv(path)
 

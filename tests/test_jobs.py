@@ -39,6 +39,21 @@ def test_csv_is_read_as_text_with_its_order(spark, inputs):
     assert [seconds_of(r["dt"]) for r in rows] == [0.5, 1, 12, 20, 21, 22, 23, 24, None]
 
 
+def test_rows_are_ordered_by_file_and_place(spark, tmp_path):
+    for name in ("b 2.csv", "a%é.csv", "c.csv"):
+        lines = [f"{name} {i},2024-01-01,00:00:00,A" for i in range(300)]
+        (tmp_path / name).write_text("\n".join(lines[: 300 if name != "c.csv" else 3]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        raw = readings.read_raw(spark, str(tmp_path))
+        rows = [r["event"] for r in raw.orderBy(*readings.INPUT_ORDER).collect()]
+        assert raw.select("input_block").distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    expected = [("a%é.csv", 300), ("b 2.csv", 300), ("c.csv", 3)]
+    assert rows == [f"{name} {i}" for name, n in expected for i in range(n)]
+
+
 def test_bad_times_raise_unless_lenient(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("ON,yesterday,noon,A\n")
