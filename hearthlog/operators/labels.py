@@ -7,6 +7,7 @@ from hearthlog.functions.clock import cyclical
 from hearthlog.operators.lookup import lookup
 from hearthlog.operators.ordering import with_position
 from hearthlog.settings import DAY_SECONDS
+from hearthlog.staging import measure
 
 FEATURES = ("sensorEnc", "sinTransform", "cosTransform")
 
@@ -20,10 +21,10 @@ def label_codes(log: DataFrame, sensor: str = "sensor") -> DataFrame:
 def with_label_code(log: DataFrame, sensor: str = "sensor", name: str = "sensorEnc") -> DataFrame:
     """Add the code of the label; readings without a sensor get the code after the last."""
     codes = label_codes(log, sensor)
-    unlabelled = codes.count()
+    size = measure(codes)
     return (
-        lookup(log, codes, [sensor])
-        .withColumn(name, F.coalesce(F.col("code"), F.lit(unlabelled)).cast("bigint"))
+        lookup(log, codes, [sensor], facts_bytes=size.bytes)
+        .withColumn(name, F.coalesce(F.col("code"), F.lit(size.rows)).cast("bigint"))
         .select(*log.columns, name)
     )
 

@@ -11,18 +11,9 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.staging import stage
+from hearthlog.staging import measure, stage
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
-
-def measured_bytes(facts: DataFrame) -> int:
-    """Bytes of the values, plus a fixed overhead per value."""
-    per_row = sum(
-        (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in facts.columns),
-        start=F.lit(32),
-    )
-    return facts.agg(F.sum(per_row.cast("bigint"))).first()[0] or 0
+BROADCAST_LIMIT_BYTES = 128 * 1024 * 1024
 
 
 def lookup(
@@ -30,14 +21,18 @@ def lookup(
     facts: DataFrame,
     on: list[str],
     how: str = "left",
+    facts_bytes: int | None = None,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Join ``log`` with ``facts`` on equal keys.
 
-    Facts measured at no more than ``limit_bytes`` are broadcast and the log is
-    not shuffled. Larger ones meet the log in a shuffle with salted hot keys.
+    Facts of no more than ``limit_bytes`` are broadcast and the log is not shuffled.
+    Larger ones meet the log in a shuffle with salted hot keys. The facts are
+    measured here unless their size is known.
     """
-    if measured_bytes(facts) <= limit_bytes:
+    if facts_bytes is None:
+        facts_bytes = measure(facts).bytes
+    if facts_bytes <= limit_bytes:
         return log.join(F.broadcast(facts), on, how)
     return _salted_join(log, facts, on, how)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hearthlog.operators.lookup import lookup
 from hearthlog.operators.ordering import with_neighbour
-from hearthlog.staging import stage
+from hearthlog.staging import Staged, stage_measured
 
 
 def with_next_sensor(log: DataFrame, order: list[str], sensor: str = "sensor") -> DataFrame:
@@ -28,19 +28,19 @@ def transition_table(log_with_next: DataFrame, sensor: str = "sensor") -> DataFr
     return counts.withColumn("p", F.col("n") / total)
 
 
-def fit_transitions(log_with_next: DataFrame, sensor: str = "sensor") -> DataFrame:
+def fit_transitions(log_with_next: DataFrame, sensor: str = "sensor") -> Staged:
     """The transition table, computed once and kept."""
-    return stage(transition_table(log_with_next, sensor), "transitions")
+    return stage_measured(transition_table(log_with_next, sensor), "transitions")
 
 
 def with_transition_prob(
-    log_with_next: DataFrame, transitions: DataFrame, sensor: str = "sensor"
+    log_with_next: DataFrame, transitions: Staged, sensor: str = "sensor"
 ) -> DataFrame:
     """Add ``markov_prob``: the probability of the transition out of each reading."""
-    facts = transitions.select(sensor, "next_sensor", F.col("p").alias("markov_prob"))
-    return lookup(log_with_next, facts, [sensor, "next_sensor"]).select(
-        *log_with_next.columns, "markov_prob"
-    )
+    facts = transitions.table.select(sensor, "next_sensor", F.col("p").alias("markov_prob"))
+    return lookup(
+        log_with_next, facts, [sensor, "next_sensor"], facts_bytes=transitions.bytes
+    ).select(*log_with_next.columns, "markov_prob")
 
 
 def with_markov_prob(log: DataFrame, order: list[str], sensor: str = "sensor") -> DataFrame:

@@ -7,8 +7,10 @@ when a later step reads it again.
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -42,6 +44,41 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Staged(NamedTuple):
+    """A staged table and the bytes of its rows, as ``row_bytes`` counts them."""
+
+    table: DataFrame
+    bytes: int
+
+
+def row_bytes(columns: list[str]) -> Column:
+    """Bytes of the values of a row, plus a fixed overhead per value."""
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in columns]
+    return sum(sizes, start=F.lit(32)).cast("bigint")
+
+
+class Size(NamedTuple):
+    rows: int
+    bytes: int
+
+
+def measure(facts: DataFrame) -> Size:
+    """Rows, and the bytes of their values plus a fixed overhead per value."""
+    found = facts.agg(F.count(F.lit(1)), F.sum(row_bytes(facts.columns))).first()
+    return Size(found[0], found[1] or 0)
+
+
+def stage_measured(df: DataFrame, name: str) -> Staged:
+    """Stage ``df`` and take its size while it is written.
+
+    Tasks that run again may be counted again, so the size can only be too large.
+    """
+    seen = Observation()
+    table = stage(df.observe(seen, F.sum(row_bytes(df.columns)).alias("bytes")), name)
+    found = seen.get
+    return Staged(table, (found["bytes"] or 0) if "bytes" in found else measure(table).bytes)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete every table this application has staged."""
     jvm = spark.sparkContext._jvm

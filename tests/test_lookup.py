@@ -3,7 +3,8 @@
 import pytest
 from conftest import make_log
 
-from hearthlog.operators.lookup import lookup, measured_bytes
+from hearthlog.operators.lookup import lookup
+from hearthlog.staging import measure, stage_measured
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
@@ -37,5 +38,13 @@ def test_hot_key_is_spread(spark):
 
 def test_measured_bytes_grow_with_the_table(spark):
     one = spark.createDataFrame([("abc", 1)], "sensor string, fact int")
-    assert 0 < measured_bytes(one) < measured_bytes(one.union(one))
-    assert measured_bytes(one.limit(0)) == 0
+    assert 0 < measure(one).bytes < measure(one.union(one)).bytes
+    assert measure(one.union(one)).rows == 2
+    assert measure(one.limit(0)) == (0, 0)
+
+
+def test_size_taken_while_writing(spark):
+    log = make_log(spark, [(i, f"s{i}") for i in range(500)])
+    staged = stage_measured(log, "facts")
+    assert staged.bytes == measure(log).bytes and staged.table.count() == 500
+    assert stage_measured(log.where("id > 900").groupBy("sensor").count(), "none").bytes == 0
