@@ -15,10 +15,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
+sys.path.insert(0, str(ROOT))
+
+from hearthlog.staging import drop_stages  # noqa: E402
 
 
 def load_entry():
-    sys.path.insert(0, str(ROOT))
     spec = importlib.util.spec_from_file_location("spark_entry", ROOT / "__spark_entry__.py")
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
@@ -50,6 +52,7 @@ def main() -> None:
             query(spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(times[1:]), 3)
+    drop_stages(spark)
     spark.stop()
     line = {
         "metric": "total_query_seconds",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthlog.operators.reports import in_time_order
+from hearthlog.staging import stage
 
 # Fixed value: how a time is written in a report.
 REPORT_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -41,6 +42,6 @@ def read_report(spark: SparkSession, path: str, signal: str) -> DataFrame:
     return reader.option("timestampNTZFormat", REPORT_TIME).csv(path)
 
 
-def publish(df: DataFrame, name: str) -> None:
-    """Name a lazy view for SQL."""
-    df.createOrReplaceTempView(name)
+def publish(df: DataFrame, name: str, once: bool = False) -> None:
+    """Name a view for SQL: lazy, or over a staged copy that is computed once."""
+    (stage(df, name) if once else df).createOrReplaceTempView(name)

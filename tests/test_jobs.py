@@ -4,6 +4,7 @@ import json
 
 import pytest
 from conftest import seconds_of
+from pyspark.sql import functions as F
 
 from hearthlog import Settings
 from hearthlog.plans import jobs
@@ -125,9 +126,23 @@ def test_run_all_reports_both_signals(spark, inputs, tmp_path):
     assert "2024-01-01 00:00:00.500000,A,0.5" in [r["value"] for r in text]
 
 
-def test_views_are_lazy(spark):
+def test_views(spark):
     tables.publish(spark.range(3), "three")
     assert spark.sql("select sum(id) as s from three").first()["s"] == 3
+    tables.publish(spark.range(3).select(F.rand().alias("r")), "drawn", once=True)
+    assert spark.table("drawn").collect() == spark.table("drawn").collect()
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Nowhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://cluster:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage_root(Nowhere)
 
 
 def test_stages_live_in_the_shared_folder(spark, tmp_path):
