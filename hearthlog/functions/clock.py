@@ -18,13 +18,20 @@ def _epoch() -> Column:
     return as_time(F.lit("1970-01-01 00:00:00"))
 
 
-def event_time(date: Column, time: Column, strict: bool = True) -> Column:
+def event_time(
+    date: Column, time: Column, strict: bool = True, pattern: str | None = None
+) -> Column:
     """Parse ``date`` and ``time`` text; null if either is null.
 
+    ``pattern`` is for text that is not in ISO order, such as ``dd/MM/yyyy HH:mm:ss``.
     Text that is no timestamp raises, or becomes null when ``strict`` is off.
     """
     text = F.concat(date, F.lit(" "), time)
-    parsed = text.try_cast("timestamp_ntz")
+    if pattern:
+        fits = F.try_to_timestamp(text, F.lit(pattern)).isNotNull()
+        parsed = F.when(fits, F.to_timestamp_ntz(text, F.lit(pattern)))
+    else:
+        parsed = text.try_cast("timestamp_ntz")
     if not strict:
         return parsed
     refuse = F.raise_error(F.concat(F.lit("not a timestamp: "), text)).cast("timestamp_ntz")

@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlog.operators.lookup import lookup
+
 
 def attach_by_key(readings: DataFrame, scores: DataFrame, key: list[str]) -> DataFrame:
     """Left join on ``key``, which must be unique in ``scores``.
@@ -25,13 +27,14 @@ def attach_by_time(
 
     The result is the join with equal rows counted instead of repeated: ``copies``
     is how often a row occurs in it. Both sides are reduced to distinct rows with
-    counts before they meet, so copies are never paired with each other.
+    counts before they meet, so copies are never paired with each other. A time with
+    many different readings is salted like any hot key.
     """
     left = readings.groupBy(*readings.columns).agg(F.count("*").alias("_left"))
     right = (
         scores.where(F.col(ts).isNotNull()).groupBy(ts, *signals).agg(F.count("*").alias("_right"))
     )
-    dated = left.where(F.col(ts).isNotNull()).join(right, ts, "left")
+    dated = lookup(left.where(F.col(ts).isNotNull()), right, [ts])
     return (
         dated.unionByName(left.where(F.col(ts).isNull()), allowMissingColumns=True)
         .withColumn("copies", F.col("_left") * F.coalesce(F.col("_right"), F.lit(1)))

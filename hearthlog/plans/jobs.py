@@ -39,7 +39,8 @@ def prepare_data(
 ) -> None:
     """Clean a CSV log into a dataset with the roles ``activity`` and ``appliance``."""
     delays, appliances = read_metadata(spark, metadata)
-    raw = with_event_time(read_raw(spark, csv)).drop("date", "time")
+    timed = with_event_time(read_raw(spark, csv), pattern=settings.time_pattern)
+    raw = timed.drop("date", "time")
     write_by_role(with_role(clean(raw, delays, INPUT_ORDER, settings), appliances), out)
 
 

@@ -15,6 +15,7 @@ DAYS_KEPT = 30
 
 @dataclass(frozen=True)
 class Settings:
+    time_pattern: str | None = None  # of "date time"; ISO if not given
     noise_label: str = NOISE_LABEL
     debounce_seconds: float = DEBOUNCE_SECONDS
     period_seconds: float = DAY_SECONDS

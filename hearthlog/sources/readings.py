@@ -42,7 +42,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return placed.select(*RAW_COLUMNS, *INPUT_ORDER)
 
 
-def with_event_time(raw: DataFrame, strict: bool = True) -> DataFrame:
+def with_event_time(raw: DataFrame, strict: bool = True, pattern: str | None = None) -> DataFrame:
     """Put the parsed time first, as ``dt``."""
-    parsed = event_time(F.col("date"), F.col("time"), strict)
+    parsed = event_time(F.col("date"), F.col("time"), strict, pattern)
     return raw.select(parsed.alias("dt"), "*")

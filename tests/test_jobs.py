@@ -64,6 +64,18 @@ def test_bad_times_raise_unless_lenient(spark, tmp_path):
         readings.with_event_time(raw).collect()
 
 
+def test_times_by_pattern(spark, tmp_path):
+    path = tmp_path / "day_first.csv"
+    # the second time does not exist in New York
+    path.write_text("ON,02/01/2024,00:00:01.5,A\nON,10/03/2024,02:30:00.0,A\nON,soon,,A\nON,soon,1,A\n")
+    raw = readings.read_raw(spark, str(path))
+    lenient = readings.with_event_time(raw, strict=False, pattern="dd/MM/yyyy HH:mm:ss.S")
+    times = [seconds_of(r["dt"]) for r in lenient.orderBy("input_row").collect()]
+    assert times == [86401.5, 69 * 86400 + 9000, None, None]
+    with pytest.raises(Exception, match="not a timestamp"):
+        readings.with_event_time(raw, pattern="dd/MM/yyyy HH:mm:ss.S").collect()
+
+
 @pytest.mark.parametrize("appliances", [["P", "Q"], {"P": 1, "Q": {"x": 2}}])
 def test_metadata_forms(spark, tmp_path, appliances):
     path = tmp_path / "m.json"
