@@ -508,8 +508,8 @@ def _day_overlay_counts(spark, sf_dir):
     FROM kept""",
 )
 def _daily_tiles(spark, sf_dir):
-    scored = _staged_markov(spark, sf_dir)
-    return _rounded(days.daily_tiles(scored, "markov_prob", EV_THRESHOLD, 20), "value")
+    kept = days.last_days(_staged_markov(spark, sf_dir), 20)
+    return _rounded(days.daily_tiles(kept, "markov_prob", EV_THRESHOLD), "value")
 
 
 _SQL_DAILY = f"""daily AS (
@@ -523,7 +523,8 @@ _SQL_DAILY = f"""daily AS (
     SELECT day, n_points, n_anomalies, n_anomalies / CAST(n_points AS DOUBLE) AS rate FROM daily""",
 )
 def _daily_anomaly_counts(spark, sf_dir):
-    return days.daily_anomaly_counts(_staged_markov(spark, sf_dir), "markov_prob", EV_THRESHOLD)
+    kept = days.last_days(_staged_markov(spark, sf_dir))
+    return days.daily_anomaly_counts(kept, "markov_prob", EV_THRESHOLD)
 
 
 @_query(
@@ -532,7 +533,7 @@ def _daily_anomaly_counts(spark, sf_dir):
     SELECT day, xb, yb, n_points, n_anomalies FROM raster""",
 )
 def _tile_raster(spark, sf_dir):
-    return days.tile_raster(_events(spark, sf_dir, None, "value"), "value", 2.0)
+    return days.tile_raster(days.last_days(_events(spark, sf_dir, None, "value")), "value", 2.0)
 
 
 @_query(
@@ -544,7 +545,8 @@ def _tile_raster(spark, sf_dir):
     FROM daily, spread""",
 )
 def _day_number_deviation(spark, sf_dir):
-    counts = days.daily_anomaly_counts(_staged_markov(spark, sf_dir), "markov_prob", EV_THRESHOLD)
+    kept = days.last_days(_staged_markov(spark, sf_dir))
+    counts = days.daily_anomaly_counts(kept, "markov_prob", EV_THRESHOLD)
     return _rounded(days.number_deviation(counts).drop("rate"), "number_z")
 
 
@@ -556,7 +558,8 @@ def _day_number_deviation(spark, sf_dir):
     FROM shapes""",
 )
 def _day_shape_deviation(spark, sf_dir):
-    raster = days.tile_raster(_events(spark, sf_dir, None, "value"), "value", 2.0)
+    kept = days.last_days(_events(spark, sf_dir, None, "value"))
+    raster = days.tile_raster(kept, "value", 2.0)
     return _rounded(days.shape_deviation(raster), "shape_tv")
 
 

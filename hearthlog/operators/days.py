@@ -1,7 +1,8 @@
 """Day-level views of a signal over the last days that have readings.
 
-The day tables have at most one row per kept day, and the rasters at most one per
-kept day and cell, so windows over them are bounded by parameters.
+The views take the readings that ``last_days`` kept, so that the days are looked for
+once. Day tables have one row per calendar day, and rasters at most one per day and
+cell: windows over them and broadcasts of them do not grow with the readings.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,14 +77,13 @@ def overlay_counts(bounds: DataFrame, anomalies: DataFrame, ts: str = "dt") -> D
 
 
 def daily_tiles(
-    scored: DataFrame, signal: str, threshold: float, days: int = DAYS_KEPT, ts: str = "dt"
+    kept: DataFrame, signal: str, threshold: float, ts: str = "dt"
 ) -> DataFrame:
     """One row per reading of the kept days, with its day's tile. Null signals stay."""
-    kept = last_days(scored, days, ts)
     facts = numbered_days(day_bounds(kept, ts)).select("day", "tile_no", "day_start", "day_end")
     return (
         kept.withColumn("day", day_of(F.col(ts)))
-        .join(F.broadcast(facts), "day")  # no more rows than kept days
+        .join(F.broadcast(facts), "day")  # one row per day
         .select(
             "day",
             "tile_no",
@@ -98,11 +98,11 @@ def daily_tiles(
 
 
 def daily_anomaly_counts(
-    scored: DataFrame, signal: str, threshold: float, days: int = DAYS_KEPT, ts: str = "dt"
+    kept: DataFrame, signal: str, threshold: float, ts: str = "dt"
 ) -> DataFrame:
     """``day, n_points, n_anomalies, rate`` over the kept days."""
     return (
-        last_days(scored, days, ts)
+        kept.where(F.col(ts).isNotNull())
         .groupBy(day_of(F.col(ts)).alias("day"))
         .agg(
             F.count("*").alias("n_points"),
@@ -113,10 +113,9 @@ def daily_anomaly_counts(
 
 
 def tile_raster(
-    scored: DataFrame,
+    kept: DataFrame,
     signal: str,
     threshold: float,
-    days: int = DAYS_KEPT,
     columns: int = 24,
     rows: int = 20,
     ts: str = "dt",
@@ -126,7 +125,7 @@ def tile_raster(
     All days share the range of the signal over the kept days. Only cells with
     points are listed; null signals have no place in the grid.
     """
-    drawn = last_days(scored, days, ts).where(F.col(signal).isNotNull())
+    drawn = kept.where(F.col(ts).isNotNull() & F.col(signal).isNotNull())
     low, high = drawn.agg(F.min(signal), F.max(signal)).first()
     per_column = F.lit(DAY_SECONDS * MICROS_PER_SECOND / columns)
     return (
@@ -184,7 +183,7 @@ def shape_deviation(raster: DataFrame) -> DataFrame:
     mean = F.when(F.col("_days") > 1, (in_cell - F.col("_p")) / (F.col("_days") - 1))
     distance = (F.lit(1.0) + F.sum(F.abs(F.col("_p") - F.col("_m")) - F.col("_m"))) / 2
     return (
-        shares.join(F.broadcast(days), "day")  # no more rows than kept days
+        shares.join(F.broadcast(days), "day")  # one row per day
         .withColumn("_m", mean)
         .groupBy("day")
         .agg(distance.alias("shape_tv"))

@@ -8,6 +8,7 @@ from hearthlog.operators.cleaning import debounce, drop_noise, shift_delays, wit
 from hearthlog.operators.days import (
     daily_anomaly_counts,
     daily_tiles,
+    last_days,
     number_deviation,
     shape_deviation,
     tile_raster,
@@ -88,21 +89,23 @@ def probability_signal(
     threshold: float,
     out: str | None = None,
     settings: Settings = Settings(),
+    kept: DataFrame | None = None,
 ) -> SignalReport:
-    """Report a signal, and write its anomalies to ``out`` if given."""
+    """Report a signal, and write its anomalies to ``out`` if given.
+
+    ``kept`` holds the readings of the last days if they were looked for before.
+    """
     anomalies = point_anomalies(scored, signal, threshold)
     if out:
         write_report(anomalies, out)
-    kept = settings.days_kept
+    if kept is None:
+        kept = last_days(scored, settings.days_kept)
     raster = stage(
-        tile_raster(
-            scored, signal, threshold, kept, settings.raster_columns, settings.raster_rows
-        ),
-        "raster",
+        tile_raster(kept, signal, threshold, settings.raster_columns, settings.raster_rows), "raster"
     )
-    counts = daily_anomaly_counts(scored, signal, threshold, kept)
+    counts = daily_anomaly_counts(kept, signal, threshold)
     days = number_deviation(counts).join(shape_deviation(raster), "day", "left")
-    return SignalReport(anomalies, daily_tiles(scored, signal, threshold, kept), raster, days)
+    return SignalReport(anomalies, daily_tiles(kept, signal, threshold), raster, days)
 
 
 def run_all(
@@ -112,8 +115,9 @@ def run_all(
     prepare_data(spark, csv, metadata, f"{out}/cleaned", settings)
     get_scores(spark, f"{out}/cleaned", f"{out}/scored", settings)
     scored = read_table(spark, f"{out}/scored")
+    kept = last_days(scored, settings.days_kept)
     thresholds = {MARKOV: settings.markov_threshold, FOREST: settings.forest_threshold}
     return {
-        signal: probability_signal(scored, signal, limit, f"{out}/{signal}_anomalies", settings)
+        signal: probability_signal(scored, signal, limit, f"{out}/{signal}_anomalies", settings, kept)
         for signal, limit in thresholds.items()
     }

@@ -30,7 +30,7 @@ def test_anomalies_are_strictly_below_and_never_null(spark):
 def test_last_days_skip_empty_ones_and_the_report_does_not(spark):
     held = [d if d < 20 else d + 5 for d in range(40)]
     scored = signal_log(spark, [(d * DAY + 60, 0.0) for d in held] + [(None, 0.0)])
-    tiles = days.daily_tiles(scored, "p", 0.5, days=30).collect()
+    tiles = days.daily_tiles(days.last_days(scored, 30), "p", 0.5).collect()
     assert sorted((r["dt"] - dt.datetime(2024, 1, 1)).days for r in tiles) == held[10:]
     assert sorted(r["tile_no"] for r in tiles) == list(range(30))
     assert reports.point_anomalies(scored, "p", 0.5).count() == 41
