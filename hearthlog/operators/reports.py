@@ -1,5 +1,7 @@
 """Readings whose signal is below a threshold."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,22 @@ def is_unusual(signal: str, threshold: float):
 
 
 def point_anomalies(
-    scored: DataFrame, signal: str, threshold: float, ts: str = "dt", sensor: str = "sensor"
+    scored: DataFrame,
+    signal: str,
+    threshold: float,
+    ts: str = "dt",
+    sensor: str = "sensor",
+    place: Sequence[str] = (),
 ) -> DataFrame:
-    """``dt, sensor, signal`` of the readings below the threshold, over all history."""
-    chosen = select_signal(scored, signal, ts, sensor)
-    return chosen.where(F.col(signal) < F.lit(float(threshold)))
+    """``dt, sensor, signal`` of the readings below the threshold, over all history.
+
+    ``place`` names columns to keep that tell equal rows apart when they are sorted.
+    """
+    chosen = select_signal(scored, signal, *place, ts, sensor)
+    return chosen.where(F.col(signal) < F.lit(float(threshold))).select(ts, sensor, signal, *place)
 
 
 def in_time_order(anomalies: DataFrame, ts: str = "dt") -> DataFrame:
+    """Sort by time, then by every other column."""
     rest = [F.col(c).asc_nulls_last() for c in anomalies.columns if c != ts]
     return anomalies.orderBy(F.col(ts).asc_nulls_last(), *rest)

@@ -95,9 +95,9 @@ def probability_signal(
 
     ``kept`` holds the readings of the last days if they were looked for before.
     """
-    anomalies = point_anomalies(scored, signal, threshold)
     if out:
-        write_report(anomalies, out)
+        place = [c for c in INPUT_ORDER if c in scored.columns]
+        write_report(point_anomalies(scored, signal, threshold, place=place), out, place)
     if kept is None:
         kept = last_days(scored, settings.days_kept)
     raster = stage(
@@ -105,7 +105,12 @@ def probability_signal(
     )
     counts = daily_anomaly_counts(kept, signal, threshold)
     days = number_deviation(counts).join(shape_deviation(raster), "day", "left")
-    return SignalReport(anomalies, daily_tiles(kept, signal, threshold), raster, days)
+    return SignalReport(
+        point_anomalies(scored, signal, threshold),
+        daily_tiles(kept, signal, threshold),
+        raster,
+        days,
+    )
 
 
 def run_all(

@@ -1,5 +1,7 @@
 """Stage datasets, reports and views."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +32,13 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_report(anomalies: DataFrame, path: str) -> None:
-    """A folder of CSV parts with headers; the parts follow each other in time."""
-    writer = in_time_order(anomalies).write.mode("overwrite")
+def write_report(anomalies: DataFrame, path: str, place: Sequence[str] = ()) -> None:
+    """A folder of CSV parts with headers; the parts follow each other in time.
+
+    The columns of ``place`` take part in the sort, so that equal readings can go to
+    several parts, and are not written.
+    """
+    writer = in_time_order(anomalies).drop(*place).write.mode("overwrite")
     writer.option("header", True).option("timestampNTZFormat", REPORT_TIME).csv(path)
 
 

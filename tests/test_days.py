@@ -7,6 +7,7 @@ from conftest import make_log, seconds_of
 from pyspark.sql import functions as F
 
 from hearthlog.operators import attach, days, reports
+from hearthlog.sources import tables
 
 DAY = 86400
 
@@ -27,6 +28,22 @@ def test_anomalies_are_strictly_below_and_never_null(spark):
         reports.point_anomalies(scored, "q", 0.2)
 
 
+def test_equal_anomalies_go_to_several_parts(spark, tmp_path):
+    """Readings equal in all that is reported, as a log without sensors has them."""
+    scored = spark.range(4000).selectExpr(
+        "id", "timestamp_ntz'2024-01-01 00:00:00' as dt", "cast(null as string) as sensor", "0.1D as p"
+    )
+    path = str(tmp_path / "report")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_report(reports.point_anomalies(scored, "p", 0.5, place=["id"]), path, ["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [len(f.read_text().splitlines()) - 1 for f in (tmp_path / "report").glob("part-*")]
+    assert sum(sizes) == 4000 and max(sizes) < 1500
+    assert tables.read_report(spark, path, "p").columns == ["dt", "sensor", "p"]
+
+
 def test_last_days_skip_empty_ones_and_the_report_does_not(spark):
     held = [d if d < 20 else d + 5 for d in range(40)]
     scored = signal_log(spark, [(d * DAY + 60, 0.0) for d in held] + [(None, 0.0)])
