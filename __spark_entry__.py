@@ -466,7 +466,8 @@ def _day_bounds(spark, sf_dir):
     return days.numbered_days(days.day_bounds(_events(spark, sf_dir)))
 
 
-_SQL_BOUNDS = "bounds AS (SELECT CAST(dt AS DATE) AS day, min(dt) AS day_start, max(dt) AS day_end FROM kept GROUP BY 1)"
+_SQL_BOUNDS = """bounds AS (
+      SELECT CAST(dt AS DATE) AS day, min(dt) AS day_start, max(dt) AS day_end FROM kept GROUP BY 1)"""
 
 
 @_query(
