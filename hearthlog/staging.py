@@ -5,30 +5,30 @@ what makes a partition number usable as data: once written, it cannot change
 when a later step reads it again.
 """
 
-import tempfile
+import re
 import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_local_roots: dict[str, str] = {}
-
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``.
+    """The folder that holds staged tables; all executors must reach it.
 
-    Only a local session without that setting gets a temporary folder.
+    ``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``, else one
+    under the warehouse, which every session has and a cluster shares. A warehouse on
+    the machine's own disk serves a local session only.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    on_disk = re.match(r"(file:)?/(?!/)|file:///", warehouse)
+    if on_disk and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="hearthlog-")
-    return _local_roots[app]
+    return f"{warehouse}/stages"
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:
