@@ -650,14 +650,29 @@ def _end_to_end_markov(spark, sf_dir):
 # ---------------------------------------------------------------- contract
 
 
+def _text_queries() -> tuple[dict, dict]:
+    """Queries and SQL of the text operators, which may not be installed."""
+    try:
+        import corpus_pipeline
+        from hearthlog.llm import queries as text
+    except ModuleNotFoundError as missing:
+        if missing.name in ("corpus_pipeline", "hearthlog.llm"):
+            return {}, {}
+        raise
+    sql = dict(text.SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return text.QUERIES | {"pipeline": corpus_pipeline.run}, sql
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Unlikely sensor transitions of the events, in time order."""
     return _markov_anomalies(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | _text_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | _text_queries()[1]
