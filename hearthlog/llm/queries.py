@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlog.llm import decontamination, packing
+from hearthlog.llm import decontamination, licenses, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "contaminated",
         F.size("near_items").cast("long").alias("n_near_items"),
     )
+
+
+@_query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
