@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlog.llm import decontamination, licenses, packing, personal_data
+from hearthlog.llm import decontamination, licenses, packing, personal_data, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined("base"), 256).alias("base_sha256"),
         _joined("spans").alias("spans"),
     )
+
+
+@_query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"))
