@@ -57,10 +57,25 @@ def _arrow_schema(fields) -> pa.Schema:
 
 
 def text_hash(text: Column) -> Column:
-    """With the document's id, the key of a document: rows that agree in both are the same."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+    """With the document's id, the key of a row: rows that agree in both are the same.
 
+    A null text counts as an empty one.
+    """
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-def same_document(left: DataFrame, right: DataFrame, key: str, mark: str) -> Column:
-    """Join condition on the id, null equal to null, and the hash of the text."""
-    return left[key].eqNullSafe(right[key]) & (left[mark] == right[mark])
+
+def id_text(key: Column) -> Column:
+    """An id as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as tell them from the table's own."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
