@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlog.llm import decontamination, fingerprints, licenses, packing, personal_data, simhash, urls
+from hearthlog.llm import decontamination, fingerprints, licenses, packing, personal_data, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +100,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.link_documents(_table(spark, sf_dir, "documents"))
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    return labels.select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+
+
+@_query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents selected, with what they are selected by."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.with_quality(docs, quality.fit_quality(docs, _ratings(spark, sf_dir)))
+    return scored.where(F.col("top_chance") >= quality.LEAST_CHANCE).select(
+        "doc_id", F.round("expected_grade", 9).alias("expected_grade"), F.round("top_chance", 9).alias("top_chance")
+    )
