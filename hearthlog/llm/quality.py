@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import fresh_names, letter_words, over_batches, text_bytes
+from hearthlog.llm.common import bounded_sample, fresh_names, letter_words, over_batches, text_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -191,14 +191,8 @@ def fit_quality(
     ``ratings`` has ``doc_id, grade``. A document with several ratings counts with the
     lowest; null ids and grades do not count.
     """
-    rated = (
-        ratings.dropna(subset=["doc_id", "grade"])
-        .groupBy("doc_id")
-        .agg(F.min("grade").alias("_grade"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-        .withColumnRenamed("doc_id", "_rated")
-    )
+    graded = ratings.dropna(subset=["doc_id", "grade"]).groupBy("doc_id").agg(F.min("grade").alias("_grade"))
+    rated = bounded_sample(graded, sample, "doc_id").withColumnRenamed("doc_id", "_rated")
     # The sample's size is a parameter.
     chosen = docs.select(F.col(key).alias("_rated"), F.col(text).alias("_text")).join(F.broadcast(rated), "_rated")
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlog.llm import decontamination, fingerprints, licenses, packing, personal_data, quality, simhash, urls
+from hearthlog.llm import decontamination, fingerprints, licenses, lines, packing, personal_data, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,3 +115,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(F.col("top_chance") >= quality.LEAST_CHANCE).select(
         "doc_id", F.round("expected_grade", 9).alias("expected_grade"), F.round("top_chance", 9).alias("top_chance")
     )
+
+
+@_query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_lines(_table(spark, sf_dir, "documents"))
