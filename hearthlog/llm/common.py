@@ -9,6 +9,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthlog.operators.lookup import lookup
+from hearthlog.staging import Staged
+
 # Workers need not have this package: what they run travels with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -93,3 +96,23 @@ def bounded_sample(df: DataFrame, n: int, *by: str) -> DataFrame:
     share = min(1.0, (n + 8 * n**0.5 + 64) / max(total, 1))
     below = hashed <= F.lit(int(-(2**63) + share * (2**64 - 1))).cast("long") if share < 1 else F.lit(True)
     return df.where(below).orderBy(hashed, *by).limit(n)
+
+
+def in_blocks(
+    rows: DataFrame, group: list[str], counts: Staged, spread: str, visitor: Column | None = None
+) -> DataFrame:
+    """Add ``block``: large groups in parts, such that any two of a group meet in one.
+
+    ``counts`` has the number of ``blocks`` of the large groups, from ``spread`` comes
+    the share that a row belongs to. A row goes to a block for each pair of its own
+    share with another one, a visitor, which need not meet other visitors, to every
+    share's own block. No block holds more than two shares.
+    """
+    visitor = F.lit(False) if visitor is None else visitor
+    n = F.coalesce("blocks", F.lit(1))
+    share = F.pmod(F.xxhash64(spread), n).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda q: F.least(share, q) * n + F.greatest(share, q))
+    everywhere = F.transform(F.sequence(F.lit(0), n - 1), lambda q: q * n + q)
+    joined = lookup(rows, counts.table, group, "left", facts_bytes=counts.bytes)
+    blocks = F.when(n == 1, F.array(F.lit(0))).when(visitor, everywhere).otherwise(pairs)
+    return joined.withColumn("block", F.explode(blocks)).drop("blocks")

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import fresh_names, id_text, over_batches, text_bytes, text_hash
+from hearthlog.llm.common import fresh_names, id_text, in_blocks, over_batches, text_bytes, text_hash
 from hearthlog.llm.components import connected
 from hearthlog.operators.lookup import lookup
 from hearthlog.staging import Staged, stage, stage_measured
@@ -274,19 +274,6 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _in_blocks(rows: DataFrame, group: list[str], counts: Staged, spread: str, visitor=F.lit(False)) -> DataFrame:
-    """Add ``block``. ``counts`` has the number of ``blocks`` of the large groups. There a
-    member goes to a block for each pair of its own share with another one, a visitor to
-    every share's own block; so any two meet, and no block holds more than two shares."""
-    n = F.coalesce("blocks", F.lit(1))
-    share = F.pmod(F.xxhash64(spread), n).cast("int")
-    member = F.transform(F.sequence(F.lit(0), n - 1), lambda q: F.least(share, q) * n + F.greatest(share, q))
-    everywhere = F.transform(F.sequence(F.lit(0), n - 1), lambda q: q * n + q)
-    joined = lookup(rows, counts.table, group, "left", facts_bytes=counts.bytes)
-    blocks = F.when(n == 1, F.array(F.lit(0))).when(visitor, everywhere).otherwise(member)
-    return joined.withColumn("block", F.explode(blocks)).drop("blocks")
-
-
 def close_fingerprints(prints: DataFrame, allowed: int = LINK_BITS) -> DataFrame:
     """``a, b``: links between different fingerprints (column ``fp``, distinct) with at
     most ``allowed`` differing bits, as many as connect all that such links connect."""
@@ -309,7 +296,7 @@ def close_fingerprints(prints: DataFrame, allowed: int = LINK_BITS) -> DataFrame
         .where("blocks > 1"),
         "large_buckets",
     )
-    rows = _in_blocks(spread(True), ["part", "value"], large, "fp", ~F.col("member"))
+    rows = in_blocks(spread(True), ["part", "value"], large, "fp", ~F.col("member"))
     partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = (
         rows.select(F.xxhash64("part", "value", "block").alias("bucket"), "fp", "member")
@@ -418,7 +405,7 @@ def _text_links(docs: DataFrame, suspects: Staged, key: str, text: str, size: in
         .where("blocks > 1"),
         "large_groups",
     )
-    rows = _in_blocks(sets, ["root"], large, "mark")
+    rows = in_blocks(sets, ["root"], large, "mark")
 
     def links(group):
         first = group.drop_duplicates("mark")
