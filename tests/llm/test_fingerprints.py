@@ -1,0 +1,86 @@
+import hashlib
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from hearthlog.llm import fingerprints as fp
+
+
+def naive_anchors(text):
+    """Positions of closed syncmers, by the hashes of all s-mers."""
+    if len(text) < fp.K:
+        return []
+    found = []
+    for at in range(len(text) - fp.K + 1):
+        kmer = text[at : at + fp.K]
+        if len(fp.closed_syncmers(kmer).places):  # depends on the k-mer alone
+            found.append(at)
+    return found
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcé日", max_size=120))
+def test_anchors_depend_on_their_kmer_alone(text):
+    assert fp.closed_syncmers(text).places.tolist() == naive_anchors(text)
+
+
+def test_anchors_are_about_as_dense_as_expected():
+    rng = random.Random(1)
+    text = "".join(rng.choices("abcdefghijklmnop ", k=20000))
+    share = len(fp.closed_syncmers(text).places) / len(text)
+    assert abs(share - 2 / (fp.K - fp.S + 1)) < 0.02
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abc", max_size=80), st.text(alphabet="abc", max_size=80))
+def test_anchors_of_joined_parts(a, b):
+    for cut in (0, len(a) // 2, len(a)):
+        for taken in (0, len(b) // 3, len(b)):
+            whole = a[:cut] + b[:taken]
+            got = fp.joined(fp.closed_syncmers(a), fp.closed_syncmers(b), cut, taken, a, b)
+            want = fp.closed_syncmers(whole)
+            assert got.places.tolist() == want.places.tolist()
+            assert got.hashes.tolist() == want.hashes.tolist()
+
+
+def test_likeness():
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefghij ", k=3000))
+    other = "".join(rng.choices("abcdefghij ", k=3000))
+    sketch = lambda t: fp.sketch(fp.closed_syncmers(t), lambda: t)
+    assert fp.likeness(sketch(text), sketch(text)) == 1.0
+    assert fp.likeness(sketch(text), sketch(other)) < 0.1
+    assert 0.25 < fp.likeness(sketch(text), sketch(text[:1500] + other[:1500])) < 0.75
+    assert fp.likeness(sketch("new words " + text), sketch(text)) > 0.8
+    assert fp.likeness([], []) == 1.0 and fp.likeness([], sketch(text)) == 0.0
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_edited_texts(spark, partitions):
+    rng = random.Random(partitions)
+    rows = [(i * 3 % 101, "".join(rng.choices("abcdé ", k=rng.choice([0, 1, 5, 40, 300])))) for i in range(101)]
+    rows += [(5000, None), (-7, "the smallest"), (None, "without an id"), (6000, "long " * 30000), (6000, "twin")]
+    docs = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, _chunk int, _ahead boolean")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        found = fp.fingerprint_documents(docs.repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for (doc_id, text), (_, following) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        sketch = lambda t: fp.sketch(fp.closed_syncmers(t), lambda: t)
+        want.append((str(doc_id), len(text), hashlib.sha256(edited.encode()).hexdigest(), fp.written(sketch(text)),
+                     fp.written(sketch(edited)), fp.likeness(sketch(text), sketch(edited)), fp.likeness(sketch(text), sketch(following))))
+    assert sorted((str(r[0]), *r[1:]) for r in found) == sorted(want)
+
+
+def test_one_document_is_its_own_next(spark):
+    docs = spark.createDataFrame([(1, "abcd")], "doc_id long, text string")
+    row = fp.fingerprint_documents(docs).first()
+    assert row["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and row["near_next"] == 1.0
+    assert fp.fingerprint_documents(docs.where("false")).count() == 0
