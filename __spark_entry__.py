@@ -379,8 +379,9 @@ def _markov_ties(spark, sf_dir):
     WHERE markov_prob < {EV_THRESHOLD} ORDER BY dt NULLS LAST""",
 )
 def _markov_anomalies(spark, sf_dir):
-    found = reports.point_anomalies(_markov(_events(spark, sf_dir)), "markov_prob", EV_THRESHOLD)
-    return reports.in_time_order(_rounded(found, "markov_prob"))
+    scored = _markov(_events(spark, sf_dir))
+    found = reports.point_anomalies(scored, "markov_prob", EV_THRESHOLD, place=["event_id"])
+    return reports.in_time_order(_rounded(found, "markov_prob")).drop("event_id")
 
 
 @_query(
@@ -391,8 +392,9 @@ def _markov_anomalies(spark, sf_dir):
 )
 def _markov_anomalies_sx(spark, sf_dir):
     scored = _markov(_events(spark, sf_dir, _fine_sensor()))
-    found = reports.point_anomalies(scored, "markov_prob", Settings().markov_threshold)
-    return reports.in_time_order(_rounded(found, "markov_prob"))
+    limit = Settings().markov_threshold
+    found = reports.point_anomalies(scored, "markov_prob", limit, place=["event_id"])
+    return reports.in_time_order(_rounded(found, "markov_prob")).drop("event_id")
 
 
 @_query(
@@ -423,15 +425,36 @@ def _score_attach_key(spark, sf_dir):
 @_query(
     "score_attach_dt",
     f"""WITH {_SQL_ORDERS}, {_sql_markov("raw")},
-    joined AS (
-      SELECT raw.dt, raw.sensor, scored.markov_prob FROM raw LEFT JOIN scored ON raw.dt = scored.dt)
-    SELECT dt, sensor, round(markov_prob, 9) AS markov_prob, count(*) AS copies
-    FROM joined GROUP BY dt, sensor, markov_prob""",
+    facts AS (
+      SELECT dt, count(*) AS n_scores, min(markov_prob) AS markov_prob_min, max(markov_prob) AS markov_prob_max
+      FROM scored GROUP BY dt)
+    SELECT event_id, dt, sensor, coalesce(n_scores, 0) AS n_scores,
+           round(markov_prob_min, 9) AS markov_prob_min, round(markov_prob_max, 9) AS markov_prob_max
+    FROM raw LEFT JOIN facts USING (dt)""",
 )
 def _score_attach_dt(spark, sf_dir):
-    scores = markov.with_markov_prob(_orders(spark, sf_dir), ORDER)
-    log = _orders(spark, sf_dir).select("dt", "sensor")
-    return _rounded(attach.attach_by_time(log, scores, ["markov_prob"]), "markov_prob")
+    log = _orders(spark, sf_dir)
+    found = attach.attach_by_time(log, markov.with_markov_prob(log, ORDER), ["markov_prob"])
+    return _rounded(found, "markov_prob_min", "markov_prob_max")
+
+
+@_query("markov_prob_salted", SQL["markov_prob"])
+def _markov_prob_salted(spark, sf_dir):
+    """As ``markov_prob``, with a transition table that is too large to broadcast."""
+    log = cleaning.debounce(cleaning.drop_noise(_events(spark, sf_dir, _patchy_sensor())), ["event_id"])
+    return _rounded(markov.with_markov_prob(log, ORDER, limit_bytes=0), "markov_prob")
+
+
+@_query(
+    "scores_table",
+    f"""WITH {_sql_events()}, {_sql_debounce()}, {_sql_markov()}
+    SELECT sensor, count(*) AS n, round(min(markov_prob), 9) AS least FROM scored GROUP BY sensor""",
+)
+def _scores_table(spark, sf_dir):
+    """A computed table under a name, read by SQL."""
+    tables.publish(_markov(_events(spark, sf_dir)), "scores", once=True)
+    found = spark.sql("SELECT sensor, count(*) AS n, min(markov_prob) AS least FROM scores GROUP BY sensor")
+    return _rounded(found, "least")
 
 
 @_query(
@@ -442,7 +465,8 @@ def _score_attach_dt(spark, sf_dir):
 def _csv_report(spark, sf_dir):
     out = new_stage_path(spark, "report")
     scored = _markov(_events(spark, sf_dir, _fine_sensor()))
-    tables.write_report(reports.point_anomalies(scored, "markov_prob", 0.01), out)
+    place = ["event_id"]
+    tables.write_report(reports.point_anomalies(scored, "markov_prob", 0.01, place=place), out, place)
     return _rounded(tables.read_report(spark, out, "markov_prob"), "markov_prob")
 
 
@@ -599,25 +623,86 @@ def _forest_scored(spark, sf_dir):
     return forest.with_forest_score(points, forest.fit_forest(points, ORDER, seed=42))
 
 
-@_query("iforest_scores")
+_SQL_IN_RANGE = "TRUE AS has_score, TRUE AS in_range"
+
+
+def _score_checked(scored, name="iforest_score"):
+    """The score depends on the seed; that there is one, and its range, do not."""
+    in_range = F.col(name).between(-0.5, 0.5)
+    return scored.withColumns({"has_score": F.col(name).isNotNull(), "in_range": in_range}).drop(name)
+
+
+@_query("iforest_scores", f"WITH {_sql_events()} SELECT event_id, dt, sensor, {_SQL_IN_RANGE} FROM raw")
 def _iforest_scores(spark, sf_dir):
-    return _forest_scored(spark, sf_dir).select("event_id", "dt", "sensor", "iforest_score")
+    return _score_checked(_forest_scored(spark, sf_dir).select("event_id", "dt", "sensor", "iforest_score"))
 
 
-@_query("iforest_anomalies")
+@_query("iforest_anomalies", f"WITH {_sql_events()} SELECT event_id, dt, sensor, TRUE AS as_expected FROM raw")
 def _iforest_anomalies(spark, sf_dir):
+    """For each reading, whether the report has it exactly if its score is below the threshold."""
     scored = stage(_forest_scored(spark, sf_dir), "scored")
-    return reports.in_time_order(
-        reports.point_anomalies(scored, "iforest_score", EV_FOREST_THRESHOLD)
+    place = ["event_id"]
+    found = reports.point_anomalies(scored, "iforest_score", EV_FOREST_THRESHOLD, place=place)
+    report = reports.in_time_order(found).select("event_id", F.lit(True).alias("reported"))
+    below = F.col("iforest_score") < EV_FOREST_THRESHOLD
+    matched = scored.join(report, "event_id", "left")
+    return matched.select(
+        "event_id", "dt", "sensor", (F.coalesce("reported", F.lit(False)) == below).alias("as_expected")
+    )
+
+
+@_query(
+    "iforest_sample",
+    f"""WITH {_sql_events()}
+    SELECT CAST(tree AS INTEGER) AS tree, least(256, count(*)) AS n_rows, least(256, count(*)) AS n_slots
+    FROM raw, range(100) AS t(tree) GROUP BY tree""",
+)
+def _iforest_sample(spark, sf_dir):
+    points = labels.with_features(_events(spark, sf_dir))
+    sample, _ = forest.draw_samples(points, ORDER, list(labels.FEATURES), 100, 256, 42)
+    return sample.groupBy("tree").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("slot").alias("n_slots")
+    )
+
+
+@_query(
+    "iforest_trees",
+    f"""WITH {_sql_events()}
+    SELECT CAST(tree AS INTEGER) AS tree, least(256, count(*)) AS points, TRUE AS leaves_fit, TRUE AS depth_fits
+    FROM raw, range(100) AS t(tree) GROUP BY tree""",
+)
+def _iforest_trees(spark, sf_dir):
+    """Per tree: the points in its leaves, one more leaf than inner nodes, and its depth."""
+    points = labels.with_features(_events(spark, sf_dir))
+    model = forest.fit_forest(points, ORDER, seed=42)
+    nodes = spark.createDataFrame(model.nodes, forest.NODE_SCHEMA)
+    leaf = F.col("feature") < 0
+    return nodes.groupBy("tree").agg(
+        F.sum(F.col("size").cast("bigint")).alias("points"),
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("leaves_fit"),
+        (F.max("node") <= 2 ** (8 + 1) - 2).alias("depth_fits"),
     )
 
 
-@_query("score_all")
+@_query(
+    "score_all",
+    f"""WITH raw AS (SELECT event_id, ts AS dt, {_SQL_FINE} AS sensor FROM events),
+    {_SQL_DELAYS}, {_sql_debounce(target="quiet")},
+    activity AS (
+      SELECT event_id, dt - to_microseconds(CAST(coalesce(delay, 0) * 1000000 AS BIGINT)) AS dt, sensor,
+             dt AS dt_raw
+      FROM quiet LEFT JOIN delays USING (sensor) WHERE sensor NOT IN ('purchase', 'signup')),
+    {_sql_markov("activity", "dt_raw")}
+    SELECT event_id, dt, sensor, dt_raw, round(sin(epoch(dt) / 86400.0 * 2 * pi()), 9) AS "sinTransform",
+           round(cos(epoch(dt) / 86400.0 * 2 * pi()), 9) AS "cosTransform",
+           round(markov_prob, 9) AS markov_prob, {_SQL_IN_RANGE} FROM scored""",
+)
 def _score_all(spark, sf_dir):
     """Both scores of a cleaned log."""
     delays, appliances = metadata.read_metadata(spark, _metadata(spark))
     cleaned = jobs.clean(_events(spark, sf_dir, _fine_sensor()), delays, ["event_id"])
-    return jobs.score(cleaning.without_sensors(cleaned, appliances), RAW_ORDER)
+    scored = jobs.score(cleaning.without_sensors(cleaned, appliances), RAW_ORDER)
+    return _score_checked(_rounded(scored, "sinTransform", "cosTransform", "markov_prob"))
 
 
 @_query(

@@ -1,42 +1,41 @@
 """Attaching a separate score table to the readings it was computed from."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlog.operators.lookup import lookup
+from hearthlog.staging import stage_measured
 
 
 def attach_by_key(readings: DataFrame, scores: DataFrame, key: list[str]) -> DataFrame:
-    """Left join on ``key``, which must be unique in ``scores``.
+    """Left join on ``key``, which must be unique in ``scores``; repeated keys raise.
 
-    Readings with a null in the key match nothing; they skip the join, where they
-    would all meet in one partition.
+    Readings with a null in the key match nothing, a key that very many readings have is
+    split.
     """
-    open_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
-    joined = readings.where(~open_key).join(scores, key, "left")
+    known = stage_measured(scores.dropna(subset=key), "scores")
+    repeated = known.table.groupBy(*key).count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"several scores for {repeated[0].asDict()}")
     columns = [*readings.columns, *[c for c in scores.columns if c not in key]]
-    return joined.select(*columns).unionByName(readings.where(open_key), allowMissingColumns=True)
+    return lookup(readings, known.table, key, "left", facts_bytes=known.bytes).select(*columns)
 
 
 def attach_by_time(
     readings: DataFrame, scores: DataFrame, signals: list[str], ts: str = "dt"
 ) -> DataFrame:
-    """Left join on the time alone, so readings at one time share all their scores.
+    """A row per reading with what the scores of its time say: ``n_scores``, and the
+    smallest and largest of each signal (``<signal>_min``, ``<signal>_max``).
 
-    The result is the join with equal rows counted instead of repeated: ``copies``
-    is how often a row occurs in it. Both sides are reduced to distinct rows with
-    counts before they meet, so copies are never paired with each other. A time with
-    many different readings is salted like any hot key.
+    Readings at one time share all their scores. Pairing each with each would grow with
+    the square of the readings at one time, so the scores of a time are summed up first.
+    A reading without a time, or with a time that has no scores, has none.
     """
-    left = readings.groupBy(*readings.columns).agg(F.count("*").alias("_left"))
-    right = (
-        scores.where(F.col(ts).isNotNull()).groupBy(ts, *signals).agg(F.count("*").alias("_right"))
-    )
-    dated = lookup(left.where(F.col(ts).isNotNull()), right, [ts])
-    return (
-        dated.unionByName(left.where(F.col(ts).isNull()), allowMissingColumns=True)
-        .withColumn("copies", F.col("_left") * F.coalesce(F.col("_right"), F.lit(1)))
-        .select(*readings.columns, *signals, "copies")
+    ends = [
+        f(signal).alias(f"{signal}_{name}") for signal in signals for f, name in ((F.min, "min"), (F.max, "max"))
+    ]
+    facts = scores.where(F.col(ts).isNotNull()).groupBy(ts).agg(F.count("*").alias("n_scores"), *ends)
+    added = [c for c in facts.columns if c != ts and c != "n_scores"]
+    return lookup(readings, facts, [ts], "left").select(
+        *readings.columns, F.coalesce("n_scores", F.lit(0)).alias("n_scores"), *added
     )

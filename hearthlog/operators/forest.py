@@ -1,5 +1,5 @@
-"""Isolation forest (Liu, Ting and Zhou, ICDM 2008): fitted on hash-ranked
-sub-samples, one Spark group per tree, and scored in one pass without a shuffle.
+"""Isolation forest (Liu, Ting and Zhou, ICDM 2008): fitted on sub-samples drawn by
+position, one Spark group per tree, and scored in one pass without a shuffle.
 
 A tree is a heap-shaped table: node ``i`` has the children ``2i+1`` (below the
 threshold) and ``2i+2``. Its size is fixed by the sub-sample, not by the data.
@@ -13,17 +13,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlog.operators.labels import FEATURES
+from hearthlog.operators.ordering import Numbered, with_position
 from hearthlog.settings import SAMPLE_PER_TREE, TREES
 
 # Workers need not have this package: what they run travels with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EULER_GAMMA = 0.5772156649
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, path double"
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, path double, size int"
 
 
 def average_path(n: int) -> float:
@@ -37,7 +38,8 @@ def average_path(n: int) -> float:
 
 @dataclass(frozen=True)
 class Forest:
-    """``nodes`` follows ``NODE_SCHEMA``; a leaf has feature -1 and its path length."""
+    """``nodes`` follows ``NODE_SCHEMA``; a leaf has feature -1, its path length and the
+    number of sampled points in it."""
 
     nodes: pd.DataFrame
     psi: int
@@ -48,8 +50,8 @@ class Forest:
         return int(math.floor(math.log2(self.nodes["node"].max() + 1))) if len(self.nodes) else 0
 
 
-def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, float, float]]:
-    """``(node, feature, threshold, path)`` of one tree over ``points``."""
+def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, float, float, int]]:
+    """``(node, feature, threshold, path, size)`` of one tree over ``points``."""
     limit = math.ceil(math.log2(max(len(points), 2)))
     nodes = []
     pending = [(0, points, 0)]
@@ -58,7 +60,7 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple[int, i
         low, high = part.min(axis=0), part.max(axis=0)
         varying = np.flatnonzero(high > low)
         if depth == limit or len(varying) == 0:
-            nodes.append((node, -1, 0.0, depth + average_path(len(part))))
+            nodes.append((node, -1, 0.0, depth + average_path(len(part)), len(part)))
             continue
         feature = int(varying[rng.integers(len(varying))])
         # in (low, high], so that neither side is empty
@@ -66,37 +68,50 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple[int, i
         if not low[feature] < threshold <= high[feature]:
             threshold = high[feature]
         below = part[:, feature] < threshold
-        nodes.append((node, feature, float(threshold), 0.0))
+        nodes.append((node, feature, float(threshold), 0.0, 0))
         pending.append((2 * node + 1, part[below], depth + 1))
         pending.append((2 * node + 2, part[~below], depth + 1))
     return nodes
 
 
-def _sample(points: DataFrame, key: list[str], features: list[str], trees: int, psi: int, seed: int):
-    """``tree, _hash, features`` with ``psi`` points a tree, and the sample size.
+def draw_positions(total: int, trees: int, psi: int, seed: int) -> pd.DataFrame:
+    """``tree, slot, _position``: for each tree on its own, ``min(psi, total)`` different
+    positions out of ``total``."""
+    drawn = [
+        np.random.default_rng([seed, tree, 1]).choice(total, size=min(psi, total), replace=False)
+        for tree in range(trees)
+    ]
+    return pd.DataFrame(
+        [(tree, slot, int(at)) for tree, own in enumerate(drawn) for slot, at in enumerate(own)],
+        columns=["tree", "slot", "_position"],
+    )
+
 
-    Rows are ranked by a hash of their key, so the choice does not depend on how
-    they are partitioned. A cut on the hash first leaves a few times the wanted
-    number of rows; at no point does a task see more than that.
+def draw_samples(
+    points: DataFrame,
+    key: list[str],
+    features: list[str],
+    trees: int,
+    psi: int,
+    seed: int,
+    numbered: Numbered | None = None,
+) -> tuple[DataFrame, int]:
+    """``tree, slot, features`` of the sampled points, and the sample size.
+
+    The rows that have all features are numbered in order of ``key``, unless ``numbered``
+    has them with a ``_position`` already, and each tree draws positions: one rule for
+    any number of rows, that neither partitions nor copies change.
     """
-    wanted = trees * psi
-    usable = points.dropna(subset=features).select(
-        F.xxhash64(F.lit(seed), *key).alias("_hash"), *[F.col(f).cast("double").alias(f) for f in features]
-    )
-    total = usable.count()
-    if total > 4 * wanted:
-        cut = int(-(2**63) + (4 * wanted / total) * 2**64)
-        usable = usable.where(F.col("_hash") < F.lit(cut).cast("bigint"))
-    by_hash = [F.col("_hash"), *features]
-    if total >= wanted:
-        pool = usable.orderBy(*by_hash).limit(wanted)
-        turn = F.row_number().over(Window.orderBy(*by_hash)) % trees
-        return pool.withColumn("tree", turn.cast("int")), psi
-    each = usable.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_hash", F.xxhash64("_hash", "tree")
-    )
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(*by_hash))
-    return each.withColumn("_rank", rank).where(F.col("_rank") <= psi).drop("_rank"), min(psi, total)
+    if numbered is None:
+        names = list(dict.fromkeys([*key, *features]))
+        table = with_position(points.dropna(subset=features).select(*names), names, "_position")
+        numbered = Numbered(table, table.count())
+    drawn = draw_positions(numbered.total, trees, psi, seed)
+    positions = points.sparkSession.createDataFrame(drawn, "tree int, slot int, _position bigint")
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    # As many rows as trees times the sample size.
+    sample = numbered.table.join(F.broadcast(positions), "_position").select("tree", "slot", *values)
+    return sample, min(psi, numbered.total)
 
 
 def fit_forest(
@@ -106,17 +121,22 @@ def fit_forest(
     trees: int = TREES,
     sample_per_tree: int = SAMPLE_PER_TREE,
     seed: int = 0,
+    numbered: Numbered | None = None,
 ) -> Forest:
-    """Fit on the rows of ``points`` that have all features; ``key`` tells rows apart."""
+    """Fit on the rows of ``points`` that have all features; ``key`` orders them."""
     names = list(features)
-    sample, psi = _sample(points, key, names, trees, sample_per_tree, seed)
+    sample, psi = draw_samples(points, key, names, trees, sample_per_tree, seed, numbered)
+    if psi == 0:
+        return Forest(pd.DataFrame(columns=["tree", "node", "feature", "threshold", "path", "size"]), 0, tuple(names))
 
     def grow(tree: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["_hash", *names], kind="stable")[names].to_numpy(dtype=float)
+        if len(rows) != psi:
+            raise ValueError(f"tree {tree[0]} got {len(rows)} of {psi} rows")
+        ordered = rows.sort_values("slot")[names].to_numpy(dtype=float)
         nodes = grow_tree(ordered, np.random.default_rng([seed, int(tree[0])]))
-        return pd.DataFrame(nodes, columns=["node", "feature", "threshold", "path"]).assign(
+        return pd.DataFrame(nodes, columns=["node", "feature", "threshold", "path", "size"]).assign(
             tree=int(tree[0])
-        )[["tree", "node", "feature", "threshold", "path"]]
+        )[["tree", "node", "feature", "threshold", "path", "size"]]
 
     # The sample is small in bytes but not in work: without a number of partitions
     # all trees would be merged into one task.
@@ -124,6 +144,8 @@ def fit_forest(
     spread = sample.repartition(tasks, "tree")
     # At most trees x (2 x sample - 1) nodes, whatever the size of the data.
     nodes = spread.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    if nodes["tree"].nunique() != trees:
+        raise ValueError(f"{nodes['tree'].nunique()} of {trees} trees were grown")
     return Forest(nodes.sort_values(["tree", "node"], ignore_index=True), psi, tuple(names))
 
 
@@ -174,7 +196,7 @@ def mean_path(
 
 def with_forest_score(points: DataFrame, forest: Forest, name: str = "iforest_score") -> DataFrame:
     """Add the score ``0.5 - s``: the lower, the more unusual. Null if a feature is null."""
-    if forest.nodes.empty:
+    if forest.psi == 0:  # no row had all features
         return points.withColumn(name, F.lit(None).cast("double"))
     model = points.sparkSession.sparkContext.broadcast(_full_trees(forest))
     scale = average_path(forest.psi) or 1.0

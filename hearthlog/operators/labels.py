@@ -18,9 +18,14 @@ def label_codes(log: DataFrame, sensor: str = "sensor") -> DataFrame:
     return with_position(labels, [sensor], "code")
 
 
-def with_label_code(log: DataFrame, sensor: str = "sensor", name: str = "sensorEnc") -> DataFrame:
-    """Add the code of the label; readings without a sensor get the code after the last."""
-    codes = label_codes(log, sensor)
+def with_label_code(
+    log: DataFrame, sensor: str = "sensor", name: str = "sensorEnc", labels: DataFrame | None = None
+) -> DataFrame:
+    """Add the code of the label; readings without a sensor get the code after the last.
+
+    ``labels`` is a smaller table with all labels, if there is one.
+    """
+    codes = label_codes(log if labels is None else labels, sensor)
     size = measure(codes)
     return (
         lookup(log, codes, [sensor], facts_bytes=size.bytes)
@@ -35,7 +40,11 @@ def with_cyclical(log: DataFrame, ts: str = "dt", period_seconds: float = DAY_SE
 
 
 def with_features(
-    log: DataFrame, ts: str = "dt", sensor: str = "sensor", period_seconds: float = DAY_SECONDS
+    log: DataFrame,
+    ts: str = "dt",
+    sensor: str = "sensor",
+    period_seconds: float = DAY_SECONDS,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``sensorEnc, sinTransform, cosTransform``."""
-    return with_label_code(with_cyclical(log, ts, period_seconds), sensor)
+    return with_label_code(with_cyclical(log, ts, period_seconds), sensor, labels=labels)

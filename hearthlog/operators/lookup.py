@@ -11,7 +11,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.staging import measure, stage
+from hearthlog.staging import stage, stage_measured
 
 BROADCAST_LIMIT_BYTES = 128 * 1024 * 1024
 
@@ -23,21 +23,25 @@ def lookup(
     how: str = "left",
     facts_bytes: int | None = None,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    key_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``log`` with ``facts`` on equal keys.
 
     Facts of no more than ``limit_bytes`` are broadcast and the log is not shuffled.
-    Larger ones meet the log in a shuffle with salted hot keys. The facts are
-    measured here unless their size is known.
+    Larger ones meet the log in a shuffle with salted hot keys. Facts whose size is not
+    given are staged, so that measuring them does not compute them twice. ``key_rows``
+    has the key and ``_rows``, how many rows of the log have it, if that is known.
     """
     if facts_bytes is None:
-        facts_bytes = measure(facts).bytes
+        facts, facts_bytes = stage_measured(facts, "facts")
     if facts_bytes <= limit_bytes:
         return log.join(F.broadcast(facts), on, how)
-    return _salted_join(log, facts, on, how)
+    return _salted_join(log, facts, on, how, key_rows)
 
 
-def _salted_join(log: DataFrame, facts: DataFrame, on: list[str], how: str) -> DataFrame:
+def _salted_join(
+    log: DataFrame, facts: DataFrame, on: list[str], how: str, key_rows: DataFrame | None
+) -> DataFrame:
     """Spread each key with more rows than an average partition over several.
 
     There are fewer such keys than partitions, so their table is broadcast, and
@@ -46,7 +50,9 @@ def _salted_join(log: DataFrame, facts: DataFrame, on: list[str], how: str) -> D
     spread over all partitions.
     """
     partitions = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = stage(log.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows")), "key_counts")
+    counts = key_rows
+    if counts is None:
+        counts = stage(log.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows")), "key_counts")
     fair_share = (counts.agg(F.sum("_rows")).first()[0] or 0) / partitions
     hot = counts.where(F.col("_rows") > fair_share).select(
         *on, F.ceil(F.col("_rows") / F.lit(max(fair_share, 1.0))).cast("int").alias("_salts")

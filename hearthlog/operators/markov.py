@@ -1,11 +1,11 @@
 """First-order Markov transition probabilities."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.operators.lookup import lookup
+from hearthlog.operators.lookup import BROADCAST_LIMIT_BYTES, lookup
 from hearthlog.operators.ordering import with_neighbour
-from hearthlog.staging import Staged, stage_measured
+from hearthlog.staging import Staged, stage, stage_measured
 
 
 def with_next_sensor(log: DataFrame, order: list[str], sensor: str = "sensor") -> DataFrame:
@@ -17,37 +17,58 @@ def with_next_sensor(log: DataFrame, order: list[str], sensor: str = "sensor") -
     )
 
 
+def pair_counts(log_with_next: DataFrame, sensor: str = "sensor") -> DataFrame:
+    """``sensor, next_sensor, n`` of all readings, nulls included."""
+    return log_with_next.groupBy(sensor, "next_sensor").agg(F.count("*").alias("n"))
+
+
+def shares(pairs: DataFrame, sensor: str = "sensor") -> DataFrame:
+    """``sensor, next_sensor, n, p`` where p is the share among what follows ``sensor``.
+
+    ``pairs`` is read twice. A sensor that very many others follow is one row of totals.
+    """
+    known = pairs.dropna(subset=[sensor, "next_sensor"])
+    totals = known.groupBy(sensor).agg(F.sum("n").alias("_total"))
+    joined = lookup(known, totals, [sensor], "inner")
+    return joined.select(sensor, "next_sensor", "n", (F.col("n") / F.col("_total")).alias("p"))
+
+
 def transition_table(log_with_next: DataFrame, sensor: str = "sensor") -> DataFrame:
-    """``sensor, next_sensor, n, p`` where p is the share among what follows ``sensor``."""
-    counts = (
-        log_with_next.dropna(subset=[sensor, "next_sensor"])
-        .groupBy(sensor, "next_sensor")
-        .agg(F.count("*").alias("n"))
-    )
-    total = F.sum("n").over(Window.partitionBy(sensor))
-    return counts.withColumn("p", F.col("n") / total)
+    return shares(stage(pair_counts(log_with_next, sensor), "pairs"), sensor)
 
 
-def fit_transitions(log_with_next: DataFrame, sensor: str = "sensor") -> Staged:
-    """The transition table, computed once and kept."""
-    return stage_measured(transition_table(log_with_next, sensor), "transitions")
+def fit_transitions(pairs: DataFrame, sensor: str = "sensor") -> Staged:
+    """The transition table of counted pairs, computed once and kept."""
+    return stage_measured(shares(pairs, sensor), "transitions")
 
 
 def with_transition_prob(
-    log_with_next: DataFrame, transitions: Staged, sensor: str = "sensor"
+    log_with_next: DataFrame,
+    transitions: Staged,
+    sensor: str = "sensor",
+    limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Add ``markov_prob``: the probability of the transition out of each reading."""
     facts = transitions.table.select(sensor, "next_sensor", F.col("p").alias("markov_prob"))
+    known = transitions.table.select(sensor, "next_sensor", F.col("n").alias("_rows"))
     return lookup(
-        log_with_next, facts, [sensor, "next_sensor"], facts_bytes=transitions.bytes
+        log_with_next,
+        facts,
+        [sensor, "next_sensor"],
+        facts_bytes=transitions.bytes,
+        limit_bytes=limit_bytes,
+        key_rows=known,
     ).select(*log_with_next.columns, "markov_prob")
 
 
-def with_markov_prob(log: DataFrame, order: list[str], sensor: str = "sensor") -> DataFrame:
+def with_markov_prob(
+    log: DataFrame, order: list[str], sensor: str = "sensor", limit_bytes: int = BROADCAST_LIMIT_BYTES
+) -> DataFrame:
     """Add ``next_sensor`` and ``markov_prob``.
 
     The probability is null for the last reading and wherever this sensor or the
     next one is null. ``order`` should tell any two readings apart.
     """
     ordered = with_next_sensor(log, order, sensor)
-    return with_transition_prob(ordered, fit_transitions(ordered, sensor), sensor)
+    pairs = stage(pair_counts(ordered, sensor), "pairs")
+    return with_transition_prob(ordered, fit_transitions(pairs, sensor), sensor, limit_bytes)

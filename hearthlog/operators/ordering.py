@@ -1,74 +1,123 @@
 """Neighbours and positions in one total order, without a single-task window.
 
-Rows are range-partitioned on the order columns, which splits hot instants and
-hot sensors as long as the order columns tell rows apart. Each range is a chunk,
-window functions run inside the chunks, and what they need from beyond a chunk
-comes from a table with one row per chunk.
+Bounds between chunks are fixed first, from a sample of the order columns. Then every
+row knows its chunk, and one exchange brings the chunks together; hot instants and hot
+sensors are split as long as the order columns tell rows apart. Window functions run
+inside the chunks, and what they need from beyond a chunk comes from a table with one
+row per chunk.
 """
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlog.staging import stage
 
+SAMPLE_ONE_IN = 16  # rows, by a hash of their order columns
+
+
+def _place(order: list[str]) -> Column:
+    """The order columns as one value, nulls last in each."""
+    parts = [(F.col(c).isNull().alias(f"none{i}"), F.col(c).alias(f"at{i}")) for i, c in enumerate(order)]
+    return F.struct(*[column for pair in parts for column in pair])
+
+
+def _bounds(log: DataFrame, order: list[str], chunks: int) -> DataFrame:
+    """One row: the sorted first places of the chunks, at most ``chunks`` of them."""
+    hashed = F.xxhash64(*[F.col(c) for c in order])
+    sample = log.select(*order).where(F.pmod(hashed, F.lit(SAMPLE_ONE_IN)) == 0)
+    ranges = sample.repartitionByRange(chunks, *[F.col(c).asc_nulls_last() for c in order])
+    firsts = ranges.groupBy(F.spark_partition_id().alias("range")).agg(F.min(_place(order)).alias("first"))
+    return firsts.agg(F.array_sort(F.collect_list("first")).alias("_bounds"))
+
+
+def _chunk_of(place: Column, chunks: int) -> Column:
+    """How many bounds but the first are not above ``place``, by bisection."""
+    steps = [1 << b for b in reversed(range(chunks.bit_length()))]
+    not_above = F.aggregate(
+        F.lit(steps),
+        F.lit(0),
+        lambda seen, step: F.when(F.get("_bounds", seen + step - 1) <= place, seen + step).otherwise(seen),
+    )
+    return F.greatest(not_above - 1, F.lit(0))
+
 
 def _chunked(log: DataFrame, order: list[str]):
-    """``log`` in range order with its chunk number, and a window over each chunk."""
+    """``log`` in order with its chunk number, and a window over each chunk."""
     chunks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c).asc_nulls_last() for c in order]
-    # The second exchange only tells the planner that a chunk is one partition:
-    # chunk i goes to partition i, so it is as even as the ranges are.
+    bounds = stage(_bounds(log, order, chunks).withColumn("_all", F.lit(0)), "bounds")
     laid_out = (
-        log.repartitionByRange(chunks, *keys)
-        .withColumn("_chunk", F.spark_partition_id())
+        log.withColumn("_all", F.lit(0))
+        .join(F.broadcast(bounds), "_all")  # one row, no longer than the number of chunks
+        .withColumn("_chunk", _chunk_of(_place(order), chunks))
+        .drop("_all", "_bounds")
         .repartitionById(chunks, "_chunk")
     )
-    return laid_out, Window.partitionBy("_chunk").orderBy(*keys)
+    return laid_out, Window.partitionBy("_chunk").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+
+
+def _before(counts: DataFrame) -> DataFrame:
+    """``_chunk, _before``: rows counted in all earlier chunks."""
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("_chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+
+
+class Numbered(NamedTuple):
+    """Rows, and how many of them have a number."""
+
+    table: DataFrame
+    total: int
 
 
 def with_neighbour(
-    log: DataFrame, order: list[str], pick: list[str], name: str, step: int = 1
-) -> DataFrame:
+    log: DataFrame,
+    order: list[str],
+    pick: list[str],
+    name: str,
+    step: int = 1,
+    number: tuple[str, Column] | None = None,
+) -> DataFrame | Numbered:
     """Add ``name``: a struct of the ``pick`` columns of the next row in ``order``
     (``step=1``) or the previous one (``step=-1``).
 
     The struct is null only where there is no such row; its fields may be null.
-    Nulls order last.
+    Nulls order last. With ``number``, a name and a condition, the rows for which the
+    condition holds are also numbered from 0 in this order, and their count is returned.
     """
     toward, away = (F.lead, F.lag) if step > 0 else (F.lag, F.lead)
     laid_out, in_chunk = _chunked(log, order)
     own = F.struct(*pick)
-    staged = stage(
-        laid_out.withColumns(
-            {
-                name: toward(own).over(in_chunk),
-                # the row that the adjoining chunk sees
-                "_edge": away(F.lit(True)).over(in_chunk).isNull(),
-            }
-        ),
-        "neighbour",
-    )
+    added = {
+        name: toward(own).over(in_chunk),
+        # the row that the adjoining chunk sees
+        "_edge": away(F.lit(True)).over(in_chunk).isNull(),
+    }
+    if number:
+        counts = F.coalesce(number[1], F.lit(False))
+        so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        added["_rank"] = F.when(counts, F.count_if(counts).over(so_far))
+    staged = stage(laid_out.withColumns(added), "neighbour")
     # One row per non-empty chunk, so never more than spark.sql.shuffle.partitions.
     beyond = staged.where("_edge").select(
         "_chunk", toward(own).over(Window.orderBy("_chunk")).alias("_beyond")
     )
-    return (
-        staged.join(F.broadcast(beyond), "_chunk", "left")
-        .withColumn(name, F.coalesce(name, "_beyond"))
-        .select(*log.columns, name)
+    found = staged.join(F.broadcast(beyond), "_chunk", "left").withColumn(name, F.coalesce(name, "_beyond"))
+    if not number:
+        return found.select(*log.columns, name)
+    per_chunk = stage(staged.groupBy("_chunk").agg(F.count("_rank").alias("_rows")), "chunks")
+    numbered = found.join(F.broadcast(_before(per_chunk)), "_chunk").withColumn(
+        number[0], F.col("_before") + F.col("_rank") - 1
     )
+    total = per_chunk.agg(F.sum("_rows")).first()[0] or 0
+    return Numbered(numbered.select(*log.columns, name, number[0]), total)
 
 
 def with_position(table: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add ``name``: the number of rows before this one in ``order``."""
     laid_out, in_chunk = _chunked(table, order)
     staged = stage(laid_out.withColumn("_rank", F.row_number().over(in_chunk)), "position")
-    earlier_chunks = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        staged.groupBy("_chunk")
-        .agg(F.count("*").alias("_rows"))
-        .select("_chunk", F.coalesce(F.sum("_rows").over(earlier_chunks), F.lit(0)).alias("_before"))
-    )
+    before = _before(staged.groupBy("_chunk").agg(F.count("*").alias("_rows")))
     return staged.join(F.broadcast(before), "_chunk").select(
         *table.columns, (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias(name)
     )

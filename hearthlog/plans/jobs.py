@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hearthlog.operators.cleaning import debounce, drop_noise, shift_delays, with_role
 from hearthlog.operators.days import (
@@ -15,7 +16,8 @@ from hearthlog.operators.days import (
 )
 from hearthlog.operators.forest import fit_forest, with_forest_score
 from hearthlog.operators.labels import with_features
-from hearthlog.operators.markov import fit_transitions, with_next_sensor, with_transition_prob
+from hearthlog.operators.markov import fit_transitions, pair_counts, with_transition_prob
+from hearthlog.operators.ordering import Numbered, with_neighbour
 from hearthlog.operators.reports import point_anomalies
 from hearthlog.settings import Settings
 from hearthlog.sources.metadata import read_metadata
@@ -51,16 +53,20 @@ def score(log: DataFrame, order: list[str] = LOG_ORDER, settings: Settings = Set
     Each score is computed in the lineage of its reading, so none has to be joined
     back. The log is laid out in order once; both fits and the scoring read that.
     """
-    ordered = with_next_sensor(log, order)
-    featured = with_features(ordered, period_seconds=settings.period_seconds)
+    # The staged layout is read three times: for the pairs, the samples and the scores.
+    laid_out = with_neighbour(log, order, ["sensor"], "_next", number=("_position", F.col("dt").isNotNull()))
+    ordered = laid_out.table.withColumn("next_sensor", F.col("_next.sensor")).drop("_next")
+    pairs = stage(pair_counts(ordered), "pairs")
+    featured = with_features(ordered, period_seconds=settings.period_seconds, labels=pairs)
     forest = fit_forest(
         featured,
         order,
         trees=settings.trees,
         sample_per_tree=settings.sample_per_tree,
         seed=settings.forest_seed,
+        numbered=Numbered(featured, laid_out.total),
     )
-    likely = with_transition_prob(featured, fit_transitions(ordered))
+    likely = with_transition_prob(featured, fit_transitions(pairs))
     return with_forest_score(likely, forest).select(
         *log.columns, "sinTransform", "cosTransform", MARKOV, FOREST
     )

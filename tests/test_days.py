@@ -152,11 +152,21 @@ def test_scores_attached_by_key_keep_readings_with_null_keys(spark):
     assert found == {0: 0.0, 1: None, 2: 2.0, 3: None}
 
 
-def test_scores_attached_by_time_count_the_fan_out(spark):
+def test_scores_attached_by_time(spark):
     log = signal_log(spark, [(0, 0.5), (0, 0.25), (0, 0.5), (7, 0.125), (None, 0.75)])
-    readings = log.select("dt", "sensor")
-    found = attach.attach_by_time(readings, log, ["p"])
-    join = readings.join(log.select("dt", "p"), "dt", "left").groupBy("dt", "sensor", "p").count()
-    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, join.collect()), key=str)
+    found = attach.attach_by_time(log.drop("p"), log.where("id != 3"), ["p"])
+    by_id = {r["id"]: (r["n_scores"], r["p_min"], r["p_max"]) for r in found.collect()}
+    assert by_id == {i: (3, 0.25, 0.5) for i in range(3)} | {3: (0, None, None), 4: (0, None, None)}
     by_key = attach.attach_by_key(log.drop("p"), log.select("id", "p"), ["id"])
     assert by_key.count() == 5
+
+
+def test_scores_of_one_instant_do_not_multiply(spark):
+    log = signal_log(spark, [(0, i / 2000) for i in range(2000)])
+    assert attach.attach_by_time(log.drop("p"), log, ["p"]).count() == 2000
+
+
+def test_a_repeated_score_key_raises(spark):
+    log = signal_log(spark, [(0, 0.5), (0, 0.25)])
+    with pytest.raises(ValueError, match="several scores"):
+        attach.attach_by_key(log.drop("p"), log.select("dt", "p"), ["dt"])

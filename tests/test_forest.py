@@ -49,12 +49,12 @@ def test_average_path():
 
 def test_trees_separate_all_points_or_reach_the_limit():
     points = np.random.default_rng(1).random((256, 3))
-    nodes = {n: (f, path) for n, f, _, path in forest.grow_tree(points, np.random.default_rng(2))}
+    nodes = {n: (f, path) for n, f, _, path, _ in forest.grow_tree(points, np.random.default_rng(2))}
     assert max(nodes) <= 2 ** (8 + 1) - 2
     for node, (feature, _) in nodes.items():
         assert (feature >= 0) == (2 * node + 1 in nodes) == (2 * node + 2 in nodes)
     same = forest.grow_tree(np.ones((10, 3)), np.random.default_rng(0))
-    assert same == [(0, -1, 0.0, forest.average_path(10))]
+    assert same == [(0, -1, 0.0, forest.average_path(10), 10)]
 
 
 def test_scores_equal_a_walk_through_the_nodes(spark):
@@ -85,7 +85,6 @@ def test_planted_reading_has_the_lowest_score(spark):
 
 @pytest.mark.parametrize("trees, per_tree", [(10, 256), (4, 32)])
 def test_forest_does_not_depend_on_partitions(spark, trees, per_tree):
-    """Both for a sample from few rows and for one cut by its hash."""
     log = labels.with_features(planted(spark)).cache()
     fits = [
         forest.fit_forest(log.repartition(n), KEY, trees=trees, sample_per_tree=per_tree, seed=9)
@@ -97,12 +96,26 @@ def test_forest_does_not_depend_on_partitions(spark, trees, per_tree):
     assert not other.nodes.equals(fits[0].nodes)
 
 
-@pytest.mark.parametrize("rows, trees, per_tree", [(100, 10, 64), (700, 10, 64), (9000, 10, 64)])
-def test_every_tree_gets_its_sample(spark, rows, trees, per_tree):
+@pytest.mark.parametrize("rows", [40, 100, 639, 640, 9000])
+def test_every_tree_draws_on_its_own(spark, rows):
+    """The same rule below and above trees x sample size."""
     points = labels.with_features(make_log(spark, [(60 * i, f"s{i % 9}") for i in range(rows)]))
-    sample, psi = forest._sample(points, KEY, list(labels.FEATURES), trees, per_tree, 1)
-    sizes = {r["tree"]: r["count"] for r in sample.groupBy("tree").count().collect()}
-    assert psi == 64 and sizes == {t: 64 for t in range(trees)}
+    sample, psi = forest.draw_samples(points, KEY, list(labels.FEATURES), 10, 64, 1)
+    found = sample.toPandas()
+    assert psi == min(64, rows)
+    assert found.groupby("tree").size().to_dict() == {t: psi for t in range(10)}
+    own = found.groupby("tree")[["sinTransform", "cosTransform", "sensorEnc"]].apply(lambda t: len(t.drop_duplicates()))
+    assert rows > 1440 or (own == psi).all()
+
+
+def test_copies_of_few_readings_are_scored(spark):
+    log = make_log(spark, [(i % 5, "A") for i in range(40)]).drop("id")
+    many = log.crossJoin(spark.range(5000)).drop("id")
+    points = labels.with_features(many)
+    model = forest.fit_forest(points, ["dt", "sensor"], trees=4, sample_per_tree=32)
+    assert model.psi == 32 and model.nodes["size"].sum() == 4 * 32
+    scored = forest.with_forest_score(points, model)
+    assert scored.where("iforest_score is null").count() == 0 and scored.count() == 200_000
 
 
 def test_null_times_are_not_scored(spark):

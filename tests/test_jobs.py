@@ -148,10 +148,11 @@ def test_views(spark):
 def test_a_cluster_needs_a_shared_folder(spark):
     class Nowhere:
         class conf:
-            get = staticmethod(lambda key, default=None: default)
+            get = staticmethod(lambda key, default="file:/somewhere": default)
 
         class sparkContext:
-            master = "spark://cluster:7077"
+            master = "local-cluster[2,1,1024]"
+            getCheckpointDir = staticmethod(lambda: None)
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         stage_root(Nowhere)
