@@ -29,7 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH = 2048
 END_ID = 1
 BATCH_BYTES = 8 * 1024 * 1024
-MOST_WORDS_KEPT = 700_000  # of a worker's memory of word ids; cleared when full
+MOST_WORDS_KEPT = 450_000  # of a worker's memory of word ids; cleared when full
 
 # ---------------------------------------------------------------- ids
 
