@@ -732,6 +732,51 @@ def _end_to_end_markov(spark, sf_dir):
     return _rounded(run["markov_prob"].anomalies, "markov_prob")
 
 
+@_query(
+    "end_to_end",
+    f"""WITH {_sql_clean()}, activity AS (SELECT * FROM cleaned WHERE role = 'activity'),
+    {_sql_markov("activity", "dt_raw")}
+    SELECT dt, sensor, count(*) AS n, count(*) FILTER (WHERE markov_prob < 0.6) AS n_unlikely,
+           TRUE AS forest_as_expected FROM scored GROUP BY dt, sensor""",
+)
+def _end_to_end(spark, sf_dir):
+    """Both written reports next to the scored readings: how many of a time and sensor
+    the Markov report has, and whether the forest's has those below its threshold."""
+    out = new_stage_path(spark, "run")
+    settings = Settings(markov_threshold=0.6, forest_threshold=EV_FOREST_THRESHOLD)
+    jobs.run_all(spark, _csv_log(spark, sf_dir), _metadata(spark), out, settings)
+    one = F.lit(1).cast("bigint")
+    no = F.lit(0).cast("bigint")
+    scored = tables.read_table(spark, f"{out}/scored").select(
+        "dt", "sensor", one.alias("n"), no.alias("m"),
+        (F.col("iforest_score") < EV_FOREST_THRESHOLD).cast("bigint").alias("f"),
+    )
+    unlikely = tables.read_report(spark, f"{out}/markov_prob_anomalies", "markov_prob")
+    isolated = tables.read_report(spark, f"{out}/iforest_score_anomalies", "iforest_score")
+    found = scored.unionByName(
+        unlikely.select("dt", "sensor", no.alias("n"), one.alias("m"), no.alias("f"))
+    ).unionByName(isolated.select("dt", "sensor", no.alias("n"), no.alias("m"), (-one).alias("f")))
+    return found.groupBy("dt", "sensor").agg(
+        F.sum("n").alias("n"), F.sum("m").alias("n_unlikely"), (F.sum("f") == 0).alias("forest_as_expected")
+    )
+
+
+@_query(
+    "quarter_day_counts",
+    f"""WITH {_sql_events(extra=", value")},
+    binned AS (SELECT *, make_timestamp(epoch_us(dt) // 21600000000 * 21600000000) AS bin FROM raw),
+    kept AS (
+      SELECT * FROM binned WHERE bin IN (SELECT DISTINCT bin FROM binned ORDER BY bin DESC LIMIT 40))
+    SELECT bin AS day, count(*) AS n_points, count(*) FILTER (WHERE value < 2.0) AS n_anomalies,
+           count(*) FILTER (WHERE value < 2.0) / CAST(count(*) AS DOUBLE) AS rate FROM kept GROUP BY bin""",
+)
+def _quarter_day_counts(spark, sf_dir):
+    """Bins of six hours instead of days."""
+    width = 6 * 3600.0
+    kept = days.last_days(_events(spark, sf_dir, None, "value"), 40, bin_seconds=width)
+    return days.daily_anomaly_counts(kept, "value", 2.0, bin_seconds=width)
+
+
 # ---------------------------------------------------------------- contract
 
 

@@ -70,9 +70,19 @@ def day_of(ts: Column) -> Column:
     return F.to_date(ts)
 
 
+def bin_of(ts: Column, seconds: float = DAY_SECONDS) -> Column:
+    """The bin that a time lies in: its date, or the start of a bin of another width.
+
+    Bins are counted from 1970, so a width that divides the day starts anew at midnight.
+    """
+    if seconds == DAY_SECONDS:
+        return day_of(ts)
+    return earlier(ts, micros_of_bin(ts, seconds))
+
+
 def day_label(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
-def micros_of_day(ts: Column) -> Column:
-    return F.pmod(micros(ts), F.lit(int(DAY_SECONDS) * MICROS_PER_SECOND))
+def micros_of_bin(ts: Column, seconds: float = DAY_SECONDS) -> Column:
+    return F.pmod(micros(ts), F.lit(int(round(seconds * MICROS_PER_SECOND))))

@@ -1,5 +1,8 @@
 """Day-level views of a signal over the last days that have readings.
 
+A day may be any bin of time: with ``bin_seconds`` of six hours, ``day`` is the start of
+a quarter of a day and everything else follows it.
+
 The views take the readings that ``last_days`` kept, so that the days are looked for
 once. Day tables have one row per calendar day, and rasters at most one per day and
 cell: windows over them and broadcasts of them do not grow with the readings.
@@ -8,13 +11,15 @@ cell: windows over them and broadcasts of them do not grow with the readings.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthlog.functions.clock import MICROS_PER_SECOND, as_time, day_label, day_of, micros_of_day
+from hearthlog.functions.clock import MICROS_PER_SECOND, as_time, bin_of, day_label, micros_of_bin
 from hearthlog.operators.lookup import lookup
 from hearthlog.operators.reports import is_unusual
 from hearthlog.settings import DAY_SECONDS, DAYS_KEPT
 
 
-def last_days(log: DataFrame, days: int = DAYS_KEPT, ts: str = "dt") -> DataFrame:
+def last_days(
+    log: DataFrame, days: int = DAYS_KEPT, ts: str = "dt", bin_seconds: float = DAY_SECONDS
+) -> DataFrame:
     """Readings of the last ``days`` calendar days that have any.
 
     Every non-empty day from the oldest kept one on is kept, so a plain filter on
@@ -22,22 +27,22 @@ def last_days(log: DataFrame, days: int = DAYS_KEPT, ts: str = "dt") -> DataFram
     """
     kept = (
         log.where(F.col(ts).isNotNull())
-        .select(day_of(F.col(ts)).alias("day"))
+        .select(bin_of(F.col(ts), bin_seconds).alias("day"))
         .distinct()
         .orderBy(F.desc("day"))
         .limit(days)
     )
-    oldest = kept.agg(F.min("day").cast("string")).first()[0]
+    oldest = kept.agg(as_time(F.min("day")).cast("string")).first()[0]
     if oldest is None:
         return log.where(F.lit(False))
-    return log.where(F.col(ts) >= as_time(F.lit(f"{oldest} 00:00:00")))
+    return log.where(F.col(ts) >= as_time(F.lit(oldest)))
 
 
-def day_bounds(log: DataFrame, ts: str = "dt") -> DataFrame:
+def day_bounds(log: DataFrame, ts: str = "dt", bin_seconds: float = DAY_SECONDS) -> DataFrame:
     """``day, day_start, day_end, title, n_points``: one row per non-empty day."""
     return (
         log.where(F.col(ts).isNotNull())
-        .groupBy(day_of(F.col(ts)).alias("day"))
+        .groupBy(bin_of(F.col(ts), bin_seconds).alias("day"))
         .agg(
             F.min(ts).alias("day_start"),
             F.max(ts).alias("day_end"),
@@ -53,21 +58,25 @@ def numbered_days(bounds: DataFrame) -> DataFrame:
     return bounds.withColumn("tile_no", position.cast("bigint"))
 
 
-def overlay(anomalies: DataFrame, bounds: DataFrame, ts: str = "dt") -> DataFrame:
+def overlay(
+    anomalies: DataFrame, bounds: DataFrame, ts: str = "dt", bin_seconds: float = DAY_SECONDS
+) -> DataFrame:
     """Anomalies that lie between the first and the last reading of their day.
 
     A day's bounds lie within the day, so the day is an equi-join key.
     """
     facts = bounds.select("day", "day_start", "day_end")
-    dated = anomalies.withColumn("day", day_of(F.col(ts)))
+    dated = anomalies.withColumn("day", bin_of(F.col(ts), bin_seconds))
     return lookup(dated, facts, ["day"], "inner").where(
         F.col(ts).between(F.col("day_start"), F.col("day_end"))
     )
 
 
-def overlay_counts(bounds: DataFrame, anomalies: DataFrame, ts: str = "dt") -> DataFrame:
+def overlay_counts(
+    bounds: DataFrame, anomalies: DataFrame, ts: str = "dt", bin_seconds: float = DAY_SECONDS
+) -> DataFrame:
     """Add ``n_overlaid`` and ``has_anomalies`` to every day, including days without any."""
-    counts = overlay(anomalies, bounds, ts).groupBy("day").agg(F.count("*").alias("_n"))
+    counts = overlay(anomalies, bounds, ts, bin_seconds).groupBy("day").agg(F.count("*").alias("_n"))
     count = F.coalesce(F.col("_n"), F.lit(0)).cast("bigint")
     return (
         bounds.join(counts, "day", "left")
@@ -77,12 +86,12 @@ def overlay_counts(bounds: DataFrame, anomalies: DataFrame, ts: str = "dt") -> D
 
 
 def daily_tiles(
-    kept: DataFrame, signal: str, threshold: float, ts: str = "dt"
+    kept: DataFrame, signal: str, threshold: float, ts: str = "dt", bin_seconds: float = DAY_SECONDS
 ) -> DataFrame:
     """One row per reading of the kept days, with its day's tile. Null signals stay."""
-    facts = numbered_days(day_bounds(kept, ts)).select("day", "tile_no", "day_start", "day_end")
+    facts = numbered_days(day_bounds(kept, ts, bin_seconds)).select("day", "tile_no", "day_start", "day_end")
     return (
-        kept.withColumn("day", day_of(F.col(ts)))
+        kept.withColumn("day", bin_of(F.col(ts), bin_seconds))
         .join(F.broadcast(facts), "day")  # one row per day
         .select(
             "day",
@@ -97,18 +106,70 @@ def daily_tiles(
     )
 
 
+def daily_signals(
+    kept: DataFrame, thresholds: dict[str, float], ts: str = "dt", bin_seconds: float = DAY_SECONDS
+) -> DataFrame:
+    """``day, n_points`` and for each signal ``<signal>_n, <signal>_low, <signal>_high``:
+    its anomalies and its range, of all kept days in one pass."""
+    added = []
+    for signal, threshold in thresholds.items():
+        added.append(F.count_if(is_unusual(signal, threshold)).alias(f"{signal}_n"))
+        added += [F.min(signal).alias(f"{signal}_low"), F.max(signal).alias(f"{signal}_high")]
+    dated = kept.where(F.col(ts).isNotNull())
+    return dated.groupBy(bin_of(F.col(ts), bin_seconds).alias("day")).agg(F.count("*").alias("n_points"), *added)
+
+
+def anomaly_counts(signals: DataFrame, signal: str) -> DataFrame:
+    """``day, n_points, n_anomalies, rate`` of one signal of ``daily_signals``."""
+    n = F.col(f"{signal}_n")
+    return signals.select("day", "n_points", n.alias("n_anomalies"), (n / F.col("n_points")).alias("rate"))
+
+
 def daily_anomaly_counts(
-    kept: DataFrame, signal: str, threshold: float, ts: str = "dt"
+    kept: DataFrame, signal: str, threshold: float, ts: str = "dt", bin_seconds: float = DAY_SECONDS
 ) -> DataFrame:
     """``day, n_points, n_anomalies, rate`` over the kept days."""
-    return (
-        kept.where(F.col(ts).isNotNull())
-        .groupBy(day_of(F.col(ts)).alias("day"))
-        .agg(
-            F.count("*").alias("n_points"),
-            F.count_if(is_unusual(signal, threshold)).alias("n_anomalies"),
+    return anomaly_counts(daily_signals(kept, {signal: threshold}, ts, bin_seconds), signal)
+
+
+def ranges(signals: DataFrame, names: list[str]) -> dict[str, tuple[float | None, float | None]]:
+    """The range of each signal over all days of ``daily_signals``."""
+    ends = [f(f"{name}_{end}") for name in names for f, end in ((F.min, "low"), (F.max, "high"))]
+    found = signals.agg(*ends).first()
+    return {name: (found[2 * i], found[2 * i + 1]) for i, name in enumerate(names)}
+
+
+def tile_rasters(
+    kept: DataFrame,
+    thresholds: dict[str, float],
+    limits: dict[str, tuple[float | None, float | None]],
+    columns: int = 24,
+    rows: int = 20,
+    ts: str = "dt",
+    bin_seconds: float = DAY_SECONDS,
+) -> DataFrame:
+    """``signal, day, xb, yb, n_points, n_anomalies``: the rasters of several signals in
+    one pass. ``limits`` has the range that all days of a signal share."""
+    per_column = F.lit(bin_seconds * MICROS_PER_SECOND / columns)
+    drawn = [
+        F.when(
+            F.col(signal).isNotNull(),
+            F.struct(
+                F.lit(signal).alias("signal"),
+                _grid_row(F.col(signal), *limits[signal], rows).alias("yb"),
+                is_unusual(signal, threshold).alias("unusual"),
+            ),
         )
-        .withColumn("rate", F.col("n_anomalies") / F.col("n_points"))
+        for signal, threshold in thresholds.items()
+    ]
+    points = kept.where(F.col(ts).isNotNull()).select(
+        bin_of(F.col(ts), bin_seconds).alias("day"),
+        F.floor(micros_of_bin(F.col(ts), bin_seconds) / per_column).cast("int").alias("xb"),
+        F.explode(F.array_compact(F.array(*drawn))).alias("point"),
+    )
+    return (
+        points.groupBy("point.signal", "day", "xb", "point.yb")
+        .agg(F.count("*").alias("n_points"), F.count_if("point.unusual").alias("n_anomalies"))
     )
 
 
@@ -119,26 +180,16 @@ def tile_raster(
     columns: int = 24,
     rows: int = 20,
     ts: str = "dt",
+    bin_seconds: float = DAY_SECONDS,
 ) -> DataFrame:
     """``day, xb, yb, n_points, n_anomalies`` on a grid of time of day by signal.
 
     All days share the range of the signal over the kept days. Only cells with
     points are listed; null signals have no place in the grid.
     """
-    drawn = kept.where(F.col(ts).isNotNull() & F.col(signal).isNotNull())
-    low, high = drawn.agg(F.min(signal), F.max(signal)).first()
-    per_column = F.lit(DAY_SECONDS * MICROS_PER_SECOND / columns)
-    return (
-        drawn.groupBy(
-            day_of(F.col(ts)).alias("day"),
-            F.floor(micros_of_day(F.col(ts)) / per_column).cast("int").alias("xb"),
-            _grid_row(F.col(signal), low, high, rows).alias("yb"),
-        )
-        .agg(
-            F.count("*").alias("n_points"),
-            F.count_if(is_unusual(signal, threshold)).alias("n_anomalies"),
-        )
-    )
+    limits = ranges(daily_signals(kept, {signal: threshold}, ts, bin_seconds), [signal])
+    found = tile_rasters(kept, {signal: threshold}, limits, columns, rows, ts, bin_seconds)
+    return found.drop("signal")
 
 
 def _grid_row(value: Column, low: float | None, high: float | None, rows: int) -> Column:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from hearthlog.operators.cleaning import debounce, drop_noise, shift_delays, with_role
 from hearthlog.operators.days import (
-    daily_anomaly_counts,
+    anomaly_counts,
+    daily_signals,
     daily_tiles,
     last_days,
     number_deviation,
+    ranges,
     shape_deviation,
-    tile_raster,
+    tile_rasters,
 )
 from hearthlog.operators.forest import fit_forest, with_forest_score
 from hearthlog.operators.labels import with_features
@@ -23,7 +25,7 @@ from hearthlog.settings import Settings
 from hearthlog.sources.metadata import read_metadata
 from hearthlog.sources.readings import INPUT_ORDER, read_raw, with_event_time
 from hearthlog.sources.tables import read_role, read_table, write_by_role, write_report, write_table
-from hearthlog.staging import stage
+from hearthlog.staging import stage, stage_scope
 
 MARKOV, FOREST = "markov_prob", "iforest_score"
 
@@ -40,11 +42,17 @@ def clean(raw: DataFrame, delays: DataFrame, tie: list[str], settings: Settings
 def prepare_data(
     spark: SparkSession, csv: str, metadata: str, out: str, settings: Settings = Settings()
 ) -> None:
-    """Clean a CSV log into a dataset with the roles ``activity`` and ``appliance``."""
-    delays, appliances = read_metadata(spark, metadata)
-    timed = with_event_time(read_raw(spark, csv), pattern=settings.time_pattern)
-    raw = timed.drop("date", "time")
-    write_by_role(with_role(clean(raw, delays, INPUT_ORDER, settings), appliances), out)
+    """Clean a CSV log into a dataset with the roles ``activity`` and ``appliance``.
+
+    The text is parsed once, into a stage that debouncing reads with filters that
+    reach it.
+    """
+    with stage_scope(spark):
+        delays, appliances = read_metadata(spark, metadata)
+        text = read_raw(spark, csv, settings.multi_line)
+        timed = stage(with_event_time(text, pattern=settings.time_pattern).drop("date", "time"), "parsed")
+        cleaned = clean(timed, delays, INPUT_ORDER, settings)
+        write_by_role(with_role(cleaned, appliances), out)
 
 
 def score(log: DataFrame, order: list[str] = LOG_ORDER, settings: Settings = Settings()) -> DataFrame:
@@ -76,7 +84,8 @@ def get_scores(spark: SparkSession, cleaned: str, out: str, settings: Settings =
     """Score the activity readings of ``cleaned`` into a new dataset."""
     if cleaned.rstrip("/") == out.rstrip("/"):
         raise ValueError("the scored dataset needs a path of its own")
-    write_table(score(read_role(spark, cleaned, "activity"), settings=settings), out)
+    with stage_scope(spark):
+        write_table(score(read_role(spark, cleaned, "activity"), settings=settings), out)
 
 
 @dataclass(frozen=True)
@@ -89,46 +98,64 @@ class SignalReport:
     days: DataFrame
 
 
-def probability_signal(
+def probability_signals(
     scored: DataFrame,
-    signal: str,
-    threshold: float,
+    thresholds: dict[str, float],
     out: str | None = None,
     settings: Settings = Settings(),
-    kept: DataFrame | None = None,
-) -> SignalReport:
-    """Report a signal, and write its anomalies to ``out`` if given.
+) -> dict[str, SignalReport]:
+    """Report several signals, reading the kept days twice for all of them.
 
-    ``kept`` holds the readings of the last days if they were looked for before.
+    With ``out``, each report's anomalies, raster and days are written below that
+    folder and read from there.
     """
-    if out:
-        place = [c for c in INPUT_ORDER if c in scored.columns]
-        write_report(point_anomalies(scored, signal, threshold, place=place), out, place)
-    if kept is None:
-        kept = last_days(scored, settings.days_kept)
-    raster = stage(
-        tile_raster(kept, signal, threshold, settings.raster_columns, settings.raster_rows), "raster"
-    )
-    counts = daily_anomaly_counts(kept, signal, threshold)
-    days = number_deviation(counts).join(shape_deviation(raster), "day", "left")
-    return SignalReport(
-        point_anomalies(scored, signal, threshold),
-        daily_tiles(kept, signal, threshold),
-        raster,
-        days,
-    )
+    kept = last_days(scored, settings.days_kept, bin_seconds=settings.bin_seconds)
+    daily = stage(daily_signals(kept, thresholds, bin_seconds=settings.bin_seconds), "daily")
+    rasters = stage(
+        tile_rasters(
+            kept, thresholds, ranges(daily, list(thresholds)), settings.raster_columns, settings.raster_rows,
+            bin_seconds=settings.bin_seconds,
+        ),
+        "rasters",
+    )
+    reports = {}
+    for signal, threshold in thresholds.items():
+        raster = rasters.where(F.col("signal") == signal).drop("signal")
+        counts = number_deviation(anomaly_counts(daily, signal))
+        days = counts.join(shape_deviation(raster), "day", "left")
+        if out:
+            place = [c for c in INPUT_ORDER if c in scored.columns]
+            write_report(point_anomalies(scored, signal, threshold, place=place), f"{out}/{signal}_anomalies", place)
+            raster = _written(raster, f"{out}/{signal}_raster")
+            days = _written(days, f"{out}/{signal}_days")
+        reports[signal] = SignalReport(
+            point_anomalies(scored, signal, threshold),
+            daily_tiles(kept, signal, threshold, bin_seconds=settings.bin_seconds),
+            raster,
+            days,
+        )
+    return reports
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    write_table(df, path)
+    return read_table(df.sparkSession, path)
+
+
+def probability_signal(
+    scored: DataFrame, signal: str, threshold: float, out: str | None = None, settings: Settings = Settings()
+) -> SignalReport:
+    """Report one signal."""
+    return probability_signals(scored, {signal: threshold}, out, settings)[signal]
 
 
 def run_all(
     spark: SparkSession, csv: str, metadata: str, out: str, settings: Settings = Settings()
 ) -> dict[str, SignalReport]:
-    """Clean, score and report both signals below the folder ``out``."""
+    """Clean, score and report both signals below the folder ``out``; nothing else stays."""
     prepare_data(spark, csv, metadata, f"{out}/cleaned", settings)
     get_scores(spark, f"{out}/cleaned", f"{out}/scored", settings)
     scored = read_table(spark, f"{out}/scored")
-    kept = last_days(scored, settings.days_kept)
     thresholds = {MARKOV: settings.markov_threshold, FOREST: settings.forest_threshold}
-    return {
-        signal: probability_signal(scored, signal, limit, f"{out}/{signal}_anomalies", settings, kept)
-        for signal, limit in thresholds.items()
-    }
+    with stage_scope(spark):
+        return probability_signals(scored, thresholds, out, settings)

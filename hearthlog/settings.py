@@ -25,5 +25,7 @@ class Settings:
     markov_threshold: float = MARKOV_THRESHOLD
     forest_threshold: float = FOREST_THRESHOLD
     days_kept: int = DAYS_KEPT
+    bin_seconds: float = DAY_SECONDS  # of what a report calls a day
+    multi_line: bool = False  # quoted fields may hold line breaks; files are then not split
     raster_columns: int = 24
     raster_rows: int = 20

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlog.functions.clock import event_time
-from hearthlog.operators.lookup import lookup
 
 RAW_SCHEMA = "event string, date string, time string, sensor string"
 RAW_COLUMNS = ("event", "date", "time", "sensor")
@@ -19,27 +18,29 @@ MISSING_TEXTS = [
 ]
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def read_raw(
+    spark: SparkSession, path: str, multi_line: bool = False, strict: bool = True
+) -> DataFrame:
     """``event, date, time, sensor`` as text, with the place of each row in the input.
 
     Files count in the order of their paths. The row number counts within a scan
-    task, so it orders the rows of a block.
+    task, so it orders the rows of a block. Missing fields at the end of a line are
+    null; a line with a fifth field raises when it is read, unless ``strict`` is off,
+    which drops the field. Quoted fields may hold line breaks with ``multi_line`` only,
+    and then no file is split.
     """
-    raw = spark.read.schema(RAW_SCHEMA).option("escape", '"').csv(path)
-    placed = raw.select(
-        *[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c) for c in RAW_COLUMNS],
-        F.input_file_name().alias("_path"),
+    reader = spark.read.schema(f"{RAW_SCHEMA}, surplus string").option("escape", '"')
+    raw = reader.option("multiLine", multi_line).csv(path)
+    fields = {c: F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)) for c in RAW_COLUMNS}
+    if strict:
+        refuse = F.raise_error(F.concat(F.lit("more than four fields: "), F.col("surplus"))).cast("string")
+        fields["event"] = F.when(F.col("surplus").isNull(), fields["event"]).otherwise(refuse)
+    return raw.select(
+        *[field.alias(c) for c, field in fields.items()],
+        F.col("_metadata.file_path").alias("input_file"),
         F.col("_metadata.file_block_start").alias("input_block"),
         F.monotonically_increasing_id().alias("input_row"),
     )
-    # A number instead of the path: it goes through every shuffle of the log.
-    files = sorted(raw.inputFiles())
-    if len(files) > 1:
-        numbers = spark.createDataFrame(list(enumerate(files)), "input_file int, _path string")
-        placed = lookup(placed, numbers, ["_path"])
-    else:
-        placed = placed.withColumn("input_file", F.lit(0))
-    return placed.select(*RAW_COLUMNS, *INPUT_ORDER)
 
 
 def with_event_time(raw: DataFrame, strict: bool = True, pattern: str | None = None) -> DataFrame:

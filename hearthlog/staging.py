@@ -7,6 +7,9 @@ when a later step reads it again.
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -31,9 +34,30 @@ def stage_root(spark: SparkSession) -> str:
     return f"{warehouse}/stages"
 
 
+_scope: ContextVar[str] = ContextVar("hearthlog_stage_scope", default="")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{stage_root(spark)}/hearthlog-{spark.sparkContext.applicationId}"
+
+
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{stage_root(spark)}/hearthlog-{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{_scope.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside on leaving: for jobs whose results are then written.
+
+    Lazy frames made inside must not be read after it.
+    """
+    inner = f"{_scope.get()}scope-{uuid.uuid4().hex}/"
+    token = _scope.set(inner)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, f"{_folder(spark)}/{inner}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -79,10 +103,11 @@ def stage_measured(df: DataFrame, name: str) -> Staged:
     return Staged(table, (found["bytes"] or 0) if "bytes" in found else measure(table).bytes)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete every table this application has staged."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(
-        f"{stage_root(spark)}/hearthlog-{spark.sparkContext.applicationId}"
-    )
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, _folder(spark))

@@ -138,6 +138,55 @@ def test_run_all_reports_both_signals(spark, inputs, tmp_path):
     assert "2024-01-01 00:00:00.500000,A,0.5" in [r["value"] for r in text]
 
 
+def stages_left(spark):
+    path = new_stage_path(spark, "x").rsplit("/", 1)[0]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+
+
+def test_nothing_is_left_after_a_run(spark, inputs, tmp_path):
+    drop_stages(spark)
+    reports = jobs.run_all(spark, *inputs, str(tmp_path), Settings(trees=5, bin_seconds=3600.0))
+    assert stages_left(spark) == []
+    for report in reports.values():
+        assert report.tiles.count() == 5 and report.raster.count() > 0 and report.days.count() == 1
+
+
+def test_the_log_is_parsed_once_and_scored_in_three_reads(spark, inputs, tmp_path, monkeypatch):
+    plans = []
+    for name in ("write_by_role", "write_table"):
+        write = getattr(jobs, name)
+        monkeypatch.setattr(jobs, name, lambda df, path, w=write: (plans.append(df._jdf.queryExecution().toString()), w(df, path)))
+    jobs.run_all(spark, *inputs, str(tmp_path), Settings(trees=5))
+    assert not any("FileScan csv" in p for p in plans)
+
+
+def test_surplus_fields_raise(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("ON,2024-01-01,00:00:00,A,EXTRA\nON,2024-01-01\n")
+    with pytest.raises(Exception, match="more than four fields: EXTRA"):
+        readings.read_raw(spark, str(path)).collect()
+    rows = readings.read_raw(spark, str(path), strict=False).orderBy("input_row").collect()
+    assert [tuple(r)[:4] for r in rows] == [("ON", "2024-01-01", "00:00:00", "A"), ("ON", "2024-01-01", None, None)]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('"ON\nX",2024-01-01,00:00:00,B\nOFF,2024-01-01,00:00:01,B\n')
+    rows = readings.read_raw(spark, str(path), multi_line=True).orderBy("input_row").collect()
+    assert [(r["event"], r["sensor"]) for r in rows] == [("ON\nX", "B"), ("OFF", "B")]
+
+
+def test_command_line(spark, inputs, tmp_path):
+    from hearthlog import __main__ as command
+
+    given = command.parse([*inputs, "out", "--days-kept", "3", "--multi-line", "--bin-seconds", "3600"])
+    assert (given.days_kept, given.multi_line, given.bin_seconds, given.time_pattern) == (3, True, 3600.0, None)
+    command.main([*inputs, str(tmp_path / "out"), "--trees", "3"])
+    assert tables.read_table(spark, f"{tmp_path}/out/scored").count() == 6
+
+
 def test_views(spark):
     tables.publish(spark.range(3), "three")
     assert spark.sql("select sum(id) as s from three").first()["s"] == 3
