@@ -42,7 +42,7 @@ SMALL_BUCKET = 48
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 NEAR_BITS = 10  # texts that are 0.8 alike in five-word shingles differ in fewer bits but rarely
-TEXT_BLOCK = 2000
+TEXT_BLOCK = 500
 
 # ---------------------------------------------------------------- fingerprints
 
