@@ -1,60 +1,100 @@
 """Neighbours and positions in one total order, without a single-task window.
 
-Bounds between chunks are fixed first, from a sample of the order columns. Then every
-row knows its chunk, and one exchange brings the chunks together; hot instants and hot
-sensors are split as long as the order columns tell rows apart. Window functions run
-inside the chunks, and what they need from beyond a chunk comes from a table with one
-row per chunk.
+Rows are range-partitioned on the order columns and sorted, which splits hot instants
+and hot sensors as long as the order columns tell rows apart. Each range is a chunk. A
+task passes over its chunk in Arrow batches and hands each row its neighbour; what lies
+beyond the chunk comes from a table with one row per chunk. The log is exchanged once:
+a window would ask for a second exchange, as the planner cannot see that a range is one
+partition.
 """
 
+import sys
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthlog.staging import stage
 
-SAMPLE_ONE_IN = 16  # rows, by a hash of their order columns
+# Workers need not have this package: what they run travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _place(order: list[str]) -> Column:
-    """The order columns as one value, nulls last in each."""
-    parts = [(F.col(c).isNull().alias(f"none{i}"), F.col(c).alias(f"at{i}")) for i, c in enumerate(order)]
-    return F.struct(*[column for pair in parts for column in pair])
-
-
-def _bounds(log: DataFrame, order: list[str], chunks: int) -> DataFrame:
-    """One row: the sorted first places of the chunks, at most ``chunks`` of them."""
-    hashed = F.xxhash64(*[F.col(c) for c in order])
-    sample = log.select(*order).where(F.pmod(hashed, F.lit(SAMPLE_ONE_IN)) == 0)
-    ranges = sample.repartitionByRange(chunks, *[F.col(c).asc_nulls_last() for c in order])
-    firsts = ranges.groupBy(F.spark_partition_id().alias("range")).agg(F.min(_place(order)).alias("first"))
-    return firsts.agg(F.array_sort(F.collect_list("first")).alias("_bounds"))
-
-
-def _chunk_of(place: Column, chunks: int) -> Column:
-    """How many bounds but the first are not above ``place``, by bisection."""
-    steps = [1 << b for b in reversed(range(chunks.bit_length()))]
-    not_above = F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda seen, step: F.when(F.get("_bounds", seen + step - 1) <= place, seen + step).otherwise(seen),
-    )
-    return F.greatest(not_above - 1, F.lit(0))
-
-
-def _chunked(log: DataFrame, order: list[str]):
-    """``log`` in order with its chunk number, and a window over each chunk."""
+def _chunked(log: DataFrame, order: list[str]) -> DataFrame:
+    """``log`` in chunks, each in order; nulls last."""
     chunks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = stage(_bounds(log, order, chunks).withColumn("_all", F.lit(0)), "bounds")
-    laid_out = (
-        log.withColumn("_all", F.lit(0))
-        .join(F.broadcast(bounds), "_all")  # one row, no longer than the number of chunks
-        .withColumn("_chunk", _chunk_of(_place(order), chunks))
-        .drop("_all", "_bounds")
-        .repartitionById(chunks, "_chunk")
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    return log.repartitionByRange(chunks, *keys).sortWithinPartitions(*keys)
+
+
+def _ends(batch: pa.RecordBatch, places: list[int], at: int) -> list[pa.Array]:
+    return [batch.column(p).slice(at, 1) for p in places]
+
+
+def _neighbours(columns: list[pa.Array], beyond: list[pa.Array] | None, step: int) -> pa.StructArray:
+    """Each row's neighbour. ``beyond`` is that of the last row, or of the first one for
+    ``step=-1``; without it that row has none."""
+    n, moved = len(columns[0]), []
+    for at, column in enumerate(columns):
+        end = pa.nulls(1, column.type) if beyond is None else beyond[at]
+        moved.append(pa.concat_arrays([column.slice(1), end] if step > 0 else [end, column.slice(0, n - 1)]))
+    missing = [False] * n
+    missing[-1 if step > 0 else 0] = beyond is None
+    names = [f"f{i}" for i in range(len(columns))]
+    return pa.StructArray.from_arrays(moved, names, mask=pa.array(missing))
+
+
+def _pass(log: DataFrame, order: list[str], pick: list[str], step: int, counts: Column | None) -> DataFrame:
+    """Columns of ``log``, then ``_near``: the neighbour within the chunk, ``_edge``: the
+    row that the adjoining chunk sees, ``_chunk``, and ``_rank``: the counted rows so far,
+    null if not counted."""
+    fields = [T.StructField(f"f{i}", log.schema[c].dataType) for i, c in enumerate(pick)]
+    laid_out = _chunked(log.withColumn("_counts", F.lit(False) if counts is None else counts), order)
+    schema = T.StructType(
+        [
+            *log.schema.fields,
+            T.StructField("_near", T.StructType(fields)),
+            T.StructField("_edge", T.BooleanType()),
+            T.StructField("_chunk", T.IntegerType()),
+            T.StructField("_rank", T.LongType()),
+        ]
     )
-    return laid_out, Window.partitionBy("_chunk").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    places = [log.columns.index(c) for c in pick]
+    width = len(log.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, seen = TaskContext.get().partitionId(), 0
+        before, held = None, None
+
+        def finish(after: list[pa.Array] | None) -> pa.RecordBatch:
+            nonlocal seen
+            n, counted = held.num_rows, held.column(width)
+            near = _neighbours([held.column(p) for p in places], after if step > 0 else before, step)
+            edge = [False] * n
+            edge[0 if step > 0 else -1] = (before if step > 0 else after) is None
+            rank = pc.add(pc.cumulative_sum(pc.cast(counted, pa.int64())), seen)
+            seen += pc.sum(counted).as_py()
+            columns = [
+                *held.columns[:width], near, pa.array(edge), pa.array([chunk] * n, pa.int32()),
+                pc.if_else(counted, rank, pa.scalar(None, pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        for batch in batches:
+            if batch.num_rows:
+                if held is not None:
+                    yield finish(_ends(batch, places, 0))
+                    before = _ends(held, places, held.num_rows - 1)
+                held = batch
+        if held is not None:
+            yield finish(None)
+
+    return laid_out.mapInArrow(run, schema)
 
 
 def _before(counts: DataFrame) -> DataFrame:
@@ -85,24 +125,16 @@ def with_neighbour(
     Nulls order last. With ``number``, a name and a condition, the rows for which the
     condition holds are also numbered from 0 in this order, and their count is returned.
     """
-    toward, away = (F.lead, F.lag) if step > 0 else (F.lag, F.lead)
-    laid_out, in_chunk = _chunked(log, order)
-    own = F.struct(*pick)
-    added = {
-        name: toward(own).over(in_chunk),
-        # the row that the adjoining chunk sees
-        "_edge": away(F.lit(True)).over(in_chunk).isNull(),
-    }
-    if number:
-        counts = F.coalesce(number[1], F.lit(False))
-        so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        added["_rank"] = F.when(counts, F.count_if(counts).over(so_far))
-    staged = stage(laid_out.withColumns(added), "neighbour")
+    counts = F.coalesce(number[1], F.lit(False)) if number else None
+    staged = stage(_pass(log, order, pick, step, counts), "neighbour")
+    own = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(pick)])
+    toward = F.lead if step > 0 else F.lag
     # One row per non-empty chunk, so never more than spark.sql.shuffle.partitions.
-    beyond = staged.where("_edge").select(
-        "_chunk", toward(own).over(Window.orderBy("_chunk")).alias("_beyond")
+    beyond = staged.where("_edge").select("_chunk", toward(own).over(Window.orderBy("_chunk")).alias("_beyond"))
+    kind = T.StructType([T.StructField(c, log.schema[c].dataType) for c in pick])
+    found = staged.join(F.broadcast(beyond), "_chunk", "left").withColumn(
+        name, F.coalesce("_near", "_beyond").cast(kind)
     )
-    found = staged.join(F.broadcast(beyond), "_chunk", "left").withColumn(name, F.coalesce(name, "_beyond"))
     if not number:
         return found.select(*log.columns, name)
     per_chunk = stage(staged.groupBy("_chunk").agg(F.count("_rank").alias("_rows")), "chunks")
@@ -115,8 +147,7 @@ def with_neighbour(
 
 def with_position(table: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add ``name``: the number of rows before this one in ``order``."""
-    laid_out, in_chunk = _chunked(table, order)
-    staged = stage(laid_out.withColumn("_rank", F.row_number().over(in_chunk)), "position")
+    staged = stage(_pass(table, order, order[:1], 1, F.lit(True)), "position")
     before = _before(staged.groupBy("_chunk").agg(F.count("*").alias("_rows")))
     return staged.join(F.broadcast(before), "_chunk").select(
         *table.columns, (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias(name)

@@ -5,7 +5,7 @@ import re
 import pytest
 from conftest import make_log
 
-from hearthlog.operators import cleaning, days, labels, markov
+from hearthlog.operators import cleaning, days, labels, markov, ordering
 from hearthlog.plans import jobs
 
 
@@ -54,3 +54,8 @@ def test_day_tables_read_two_columns(log):
     assert "ReadSchema: struct<dt:timestamp_ntz>" in text
     assert "GreaterThanOrEqual(dt" in text
     assert "partial_count" in text
+
+
+def test_the_order_takes_one_exchange_of_the_log(log):
+    text = plan(ordering._pass(log, ["dt", "sensor", "id"], ["sensor"], 1, None))
+    assert text.count("Exchange") == 1 and "Exchange rangepartitioning" in text and "Window" not in text
