@@ -29,7 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH = 2048
 END_ID = 1
 BATCH_BYTES = 8 * 1024 * 1024
-MOST_WORDS_KEPT = 450_000  # of a worker's memory of word ids; cleared when full
+MOST_WORDS_KEPT = 600_000  # of a worker's memory of word ids: the first, so the frequent ones
 
 # ---------------------------------------------------------------- ids
 
@@ -83,9 +83,8 @@ class WordIds(dict):
             found = self.word(word.lower())
         else:
             found = self.whole(run)
-        if len(self) >= MOST_WORDS_KEPT:
-            self.clear()
-        self[run] = found
+        if len(self) < MOST_WORDS_KEPT:
+            self[run] = found
         return found
 
 
