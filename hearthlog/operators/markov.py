@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hearthlog.operators.lookup import BROADCAST_LIMIT_BYTES, lookup
 from hearthlog.operators.ordering import with_neighbour
-from hearthlog.staging import Staged, stage, stage_measured
+from hearthlog.staging import Staged, stage_measured
 
 
 def with_next_sensor(log: DataFrame, order: list[str], sensor: str = "sensor") -> DataFrame:
@@ -22,22 +22,23 @@ def pair_counts(log_with_next: DataFrame, sensor: str = "sensor") -> DataFrame:
     return log_with_next.groupBy(sensor, "next_sensor").agg(F.count("*").alias("n"))
 
 
-def shares(pairs: DataFrame, sensor: str = "sensor") -> DataFrame:
+def shares(pairs: Staged, sensor: str = "sensor") -> DataFrame:
     """``sensor, next_sensor, n, p`` where p is the share among what follows ``sensor``.
 
-    ``pairs`` is read twice. A sensor that very many others follow is one row of totals.
+    A sensor that very many others follow is one row of totals, and there are no more
+    bytes of totals than of pairs.
     """
-    known = pairs.dropna(subset=[sensor, "next_sensor"])
+    known = pairs.table.dropna(subset=[sensor, "next_sensor"])
     totals = known.groupBy(sensor).agg(F.sum("n").alias("_total"))
-    joined = lookup(known, totals, [sensor], "inner")
+    joined = lookup(known, totals, [sensor], "inner", facts_bytes=pairs.bytes)
     return joined.select(sensor, "next_sensor", "n", (F.col("n") / F.col("_total")).alias("p"))
 
 
 def transition_table(log_with_next: DataFrame, sensor: str = "sensor") -> DataFrame:
-    return shares(stage(pair_counts(log_with_next, sensor), "pairs"), sensor)
+    return shares(stage_measured(pair_counts(log_with_next, sensor), "pairs"), sensor)
 
 
-def fit_transitions(pairs: DataFrame, sensor: str = "sensor") -> Staged:
+def fit_transitions(pairs: Staged, sensor: str = "sensor") -> Staged:
     """The transition table of counted pairs, computed once and kept."""
     return stage_measured(shares(pairs, sensor), "transitions")
 
@@ -70,5 +71,5 @@ def with_markov_prob(
     next one is null. ``order`` should tell any two readings apart.
     """
     ordered = with_next_sensor(log, order, sensor)
-    pairs = stage(pair_counts(ordered, sensor), "pairs")
+    pairs = stage_measured(pair_counts(ordered, sensor), "pairs")
     return with_transition_prob(ordered, fit_transitions(pairs, sensor), sensor, limit_bytes)

@@ -25,7 +25,7 @@ from hearthlog.settings import Settings
 from hearthlog.sources.metadata import read_metadata
 from hearthlog.sources.readings import INPUT_ORDER, read_raw, with_event_time
 from hearthlog.sources.tables import read_role, read_table, write_by_role, write_report, write_table
-from hearthlog.staging import stage, stage_scope
+from hearthlog.staging import stage, stage_measured, stage_scope
 
 MARKOV, FOREST = "markov_prob", "iforest_score"
 
@@ -64,8 +64,8 @@ def score(log: DataFrame, order: list[str] = LOG_ORDER, settings: Settings = Set
     # The staged layout is read three times: for the pairs, the samples and the scores.
     laid_out = with_neighbour(log, order, ["sensor"], "_next", number=("_position", F.col("dt").isNotNull()))
     ordered = laid_out.table.withColumn("next_sensor", F.col("_next.sensor")).drop("_next")
-    pairs = stage(pair_counts(ordered), "pairs")
-    featured = with_features(ordered, period_seconds=settings.period_seconds, labels=pairs)
+    pairs = stage_measured(pair_counts(ordered), "pairs")
+    featured = with_features(ordered, period_seconds=settings.period_seconds, labels=pairs.table)
     forest = fit_forest(
         featured,
         order,
