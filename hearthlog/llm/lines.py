@@ -1,14 +1,17 @@
-"""Repeated passages of several lines, cut at places that the lines themselves choose.
-
-A rolling hash over the hashes of the last lines decides where a chunk ends, so that a
-line put in or taken out moves the cuts around it only, and a passage is cut alike
-wherever it stands. Chunks that several documents share are compared byte by byte;
-of each, the first stays and the others go.
+"""Repeated passages of lines.
+
+Those of more than ``WORDS`` words, on one line or several, are all found: from every
+line, and up to every line, the shortest such run is looked for elsewhere. Shorter ones
+are cut at places that the lines themselves choose: a rolling hash over the hashes of
+the last lines decides where a chunk ends, so that a line put in or taken out moves the
+cuts around it only. What several documents share is compared byte by byte; of each
+passage, the first stays and the others go.
 """
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -23,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST_LINES = 2  # with something on them, of a chunk
 ONE_CUT_IN = 3  # lines, on average, from the least on
+WORDS = 50  # passages of more are found wherever they begin and end
 ROLLING = 2  # lines that decide whether a chunk ends
 _MASK, _ODD = 2**64 - 1, 0x9E3779B97F4A7C15
 
@@ -58,62 +62,95 @@ def _key(chunk: bytes) -> bytes:
     return chunk.rstrip(b"\n")
 
 
-OCCURRENCE = "id string, mark long, at int, one long, two long"
+def passages(text: bytes) -> list[tuple[int, int, bytes]]:
+    """``(first line, end line, bytes)`` of what is looked for elsewhere; blank lines do
+    not count.
+
+    From every line the shortest run of more than ``WORDS`` words, and up to every line
+    the shortest one: a line of any longer run lies in one of these that is within the
+    run, so what they cover together is covered whole. Shorter passages are found as
+    chunks of several lines.
+    """
+    starts, ends, words, at = [], [], [], 0
+    for line in text.split(b"\n"):
+        if count := len(line.split()):
+            starts.append(at)
+            ends.append(at + len(line))
+            words.append(count)
+        at += len(line) + 1
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    found, line = [], 0
+    for first, end, lines in chunks(text):
+        if lines >= LEAST_LINES and total[line + lines] - total[line] <= WORDS:
+            found.append((line, line + lines, _key(text[first:end])))
+        line += lines
+    if total[-1] <= WORDS:
+        return found
+    upto = np.searchsorted(total, total[:-1] + WORDS, "right")  # of the run from each line
+    upto = upto[upto < len(total)]
+    since = np.searchsorted(total, total[1:] - WORDS, "left") - 1  # of the run up to each line
+    runs = list(enumerate(upto.tolist()))
+    known = set(runs)
+    runs += [(a, b) for b, a in enumerate(since.tolist(), 1) if a >= 0 and (a, b) not in known]
+    return found + [(a, b, text[starts[a] : ends[b - 1]]) for a, b in runs]
+
+
+OCCURRENCE = "id string, mark long, at int, upto int, one long, two long"
 
 
 def _occurrences(docs: DataFrame, key: str, text: str, with_bytes: bool) -> DataFrame:
-    """A row per chunk of several lines: its document, number, two hashes and, if
-    wanted, its bytes."""
+    """A row per passage: its document, first and end line, two hashes and, if wanted,
+    its bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh3_128_digest
 
-        signed = lambda h: h - 2**64 if h >= 2**63 else h
         for batch in batches:
-            out = []
+            out, hashes, size = [], [], 0
             columns = batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch, "_text")
             for doc_id, mark, value in zip(*columns):
-                value = value or b""
-                for at, (first, end, lines) in enumerate(chunks(value)):
-                    if lines >= LEAST_LINES:
-                        own = _key(value[first:end])
-                        row = (doc_id, mark, at, signed(xxh64_intdigest(own, 1)), signed(xxh64_intdigest(own, 2)))
-                        out.append((*row, own) if with_bytes else row)
+                for at, upto, own in passages(value or b""):
+                    hashes.append(xxh3_128_digest(own))
+                    out.append((doc_id, mark, at, upto, own) if with_bytes else (doc_id, mark, at, upto))
+                    size += len(own)
+                if len(out) >= 20_000 or (with_bytes and size > 8_000_000):
+                    yield columns_of(out, hashes)
+                    out, hashes, size = [], [], 0
             if out:
-                yield dict(zip(names, zip(*out)))
+                yield columns_of(out, hashes)
 
-    names = ("id", "mark", "at", "one", "two", "chunk")[: 6 if with_bytes else 5]
+    def columns_of(out: list, hashes: list) -> dict:
+        both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+        return dict(zip(names, zip(*out))) | {"one": both[:, 0], "two": both[:, 1]}
+
+    names = ("id", "mark", "at", "upto", "passage")[: 5 if with_bytes else 4]
     chosen = docs.select(id_text(F.col(key)).alias("id"), text_hash(F.col(text)).alias("mark"), F.col(text).alias("_text"))
-    return over_batches(chosen, rows, OCCURRENCE + (", chunk binary" if with_bytes else ""))
+    return over_batches(chosen, rows, OCCURRENCE + (", passage binary" if with_bytes else ""))
 
 
-def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, mark, at``: the chunks to remove, by document and number.
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, mark, at, upto``: the lines to remove, by document, first and end.
 
-    The first occurrence of a chunk is that in the document with the shortest, then
+    The first occurrence of a passage is that in the document with the shortest, then
     smallest id (null first), so numbers count in order; in one document the earliest.
+    It stays, and so does what overlaps it.
     """
-    where = F.struct(F.length("id").alias("size"), "id", "mark", "at")
-    found = stage(_occurrences(docs, key, text, False), "chunks")
+    where = F.struct(F.length("id").alias("size"), "id", "mark", "at", "upto")
+    found = stage(_occurrences(docs, key, text, False), "passages")
     hashes = ["one", "two"]
-    often = stage_measured(
-        found.groupBy(*hashes)
-        .agg(F.count("*").alias("n"), F.min(where).alias("first"))
-        .where("n > 1")
-        .select(*hashes, "first"),
-        "repeated_chunks",
-    )
-    # Only chunks whose hashes are repeated move with their bytes.
+    often = stage_measured(found.groupBy(*hashes).count().where("count > 1").select(*hashes), "repeated_passages")
+    # Only passages whose hashes are repeated move with their bytes.
     suspects = lookup(
-        _occurrences(docs, key, text, True).select(*hashes, "chunk"), often.table.select(*hashes), hashes,
+        _occurrences(docs, key, text, True).select(*hashes, "passage"), often.table, hashes,
         "left_semi", facts_bytes=often.bytes,
     )
-    same = suspects.groupBy(*hashes).agg((F.min("chunk") == F.max("chunk")).alias("same")).where("same")
-    sure = stage_measured(
-        lookup(often.table, same.select(*hashes), hashes, "inner", facts_bytes=often.bytes), "sure_chunks"
-    )
-    again = lookup(found, sure.table, hashes, "inner", facts_bytes=sure.bytes)
-    return again.where(where != F.col("first")).select("id", "mark", "at").distinct()
+    same = suspects.groupBy(*hashes).agg((F.min("passage") == F.max("passage")).alias("same")).where("same")
+    sure = stage_measured(same.select(*hashes), "sure_passages")
+    again = stage(lookup(found, sure.table, hashes, "inner", facts_bytes=sure.bytes), "occurrences")
+    first = stage_measured(again.groupBy(*hashes).agg(F.min(where).alias("first")), "first_occurrences")
+    overlaps = (F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("at") < F.col("first.upto"))
+    later = lookup(again, first.table, hashes, "inner", facts_bytes=first.bytes).where(~overlaps)
+    return later.select("id", "mark", "at", "upto").distinct()
 
 
 def without_chunks(text: bytes, numbers: set[int]) -> bytes:
@@ -125,17 +162,38 @@ def without_chunks(text: bytes, numbers: set[int]) -> bytes:
     return kept
 
 
+def without_lines(text: bytes, runs: Iterable[tuple[int, int]]) -> bytes:
+    """The text without those lines (first, end), blank ones not counted; the blank lines
+    after a line go with it, and so does the line break before a last one."""
+    starts, at = [], 0
+    for line in text.split(b"\n"):
+        if line.strip():
+            starts.append(at)
+        at += len(line) + 1
+    gone = np.zeros(len(starts), bool)
+    for first, end in runs:
+        gone[first:end] = True
+    if not gone.any():
+        return text
+    bounds = [0, *starts[1:], len(text)]
+    kept = b"".join([text[a:b] for a, b, out in zip(bounds, bounds[1:], gone.tolist()) if not out])
+    if gone[-1] and not text.endswith(b"\n"):
+        kept = kept[:-1] if kept.endswith(b"\n") else kept
+    return kept
+
+
 def drop_repeated_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars"
 ) -> DataFrame:
-    """``docs`` without the passages of several lines that stand elsewhere before.
+    """``docs`` without the passages of lines that stand elsewhere before.
 
-    Each repeated chunk stays once. Rows that agree in id and text are treated as one
+    A passage is any run of lines, or one line, of more than ``WORDS`` words; of shorter
+    ones only whole chunks of several lines are found. Each stays once. Rows that agree in id and text are treated as one
     document and stay alike. No row is dropped: a text may become empty; null stays
     null. ``size``, if there is such a column, is set to the new number of characters.
     Other columns are kept as they are.
     """
-    gone = repeated_chunks(docs, key, text).groupBy("id", "mark").agg(F.collect_list("at").alias("gone"))
+    gone = repeated_passages(docs, key, text).groupBy("id", "mark").agg(F.collect_list(F.struct("at", "upto")).alias("gone"))
     gone = stage_measured(gone, "removals")
     row_id, row_mark, numbers = fresh_names(docs, "row_id", "row_mark", "removed")
     marked = docs.withColumns({row_id: id_text(F.col(key)), row_mark: text_hash(F.col(text))})
@@ -143,8 +201,9 @@ def drop_repeated_lines(
 
     @F.pandas_udf("string")
     def shorter(texts: pd.Series, removed: pd.Series) -> pd.Series:
+        runs = lambda r: [(one["at"], one["upto"]) for one in r]
         return pd.Series([
-            t if t is None or r is None else without_chunks(t.encode("utf-8", "surrogatepass"), set(r)).decode("utf-8", "surrogatepass")
+            t if t is None or r is None else without_lines(t.encode("utf-8", "surrogatepass"), runs(r)).decode("utf-8", "surrogatepass")
             for t, r in zip(texts, removed)
         ])
 

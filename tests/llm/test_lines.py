@@ -54,3 +54,39 @@ def test_repeated_passages_go_and_the_first_stays(spark):
     for at, text, size, other in got:
         assert text == want[rows[at]] and size == len(text or "") and other == "x"
     assert any(text != rows[at][1] for at, text, _, _ in got)
+
+
+def without_long_runs(rows):
+    """By comparing all runs of lines, without chunks: what is left of each text."""
+    first, out = {}, []
+    for number, text in enumerate(rows):
+        body = text.split("\n")
+        gone = set()
+        for a in range(len(body)):
+            for b in range(a + 1, len(body) + 1):
+                if len(" ".join(body[a:b]).split()) > 50:
+                    there = first.setdefault("\n".join(body[a:b]), (number, a, b))
+                    if there[0] != number or a >= there[2]:
+                        gone |= set(range(a, b))
+        out.append("\n".join(line for at, line in enumerate(body) if at not in gone))
+    return out
+
+
+def test_every_passage_of_more_than_fifty_words_goes(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
+    passages = [[line(60)], [line(26), line(26)], [line(17) for _ in range(3)], [line(60), line(3)], [line(4), line(60)],
+                [line(13) for _ in range(4)], [line(7) for _ in range(8)], [line(51)], [line(30)] * 3, [line(30), line(20)]]
+    rows = [passages[0][0], passages[0][0], "\n".join([line(30)] * 9)]
+    for _ in range(80):
+        own = [line(rng.choice([2, 20, 60])) for _ in range(rng.randrange(4))]
+        at = rng.randint(0, len(own))
+        rows.append("\n".join(own[:at] + rng.choice(passages) + own[at:]))
+    short = {r for r in rows if len(r.split()) <= 50}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = [r["text"] for r in lines.drop_repeated_lines(docs).orderBy("doc_id").collect()]
+    want = without_long_runs(rows)
+    for before, after, expected in zip(rows, got, want):
+        if before not in short and passages[9][0] not in before:  # 50 words: left to the chunks
+            assert after == expected
+    assert want[1] == "" == got[1] and got[2].count("\n") == 1
