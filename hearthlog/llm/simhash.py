@@ -41,7 +41,7 @@ SMALL_BUCKET = 48
 
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
-NEAR_BITS = 10  # texts that are 0.8 alike in five-word shingles differ in fewer bits but rarely
+BANDS, BAND_ROWS = 46, 6  # sets that are 0.8 alike agree in no band once in a million times
 TEXT_BLOCK = 500
 
 # ---------------------------------------------------------------- fingerprints
@@ -359,6 +359,47 @@ def link_documents(docs: DataFrame, allowed: int = LINK_BITS, key: str = "doc_id
 # ---------------------------------------------------------------- near-duplicates
 
 
+def _band_functions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(SEED).integers(0, 2**64, (3, BANDS * BAND_ROWS), dtype=np.uint64)
+    return drawn[0][:, None], drawn[1][:, None] | np.uint64(1), drawn[2].reshape(BANDS, BAND_ROWS) | np.uint64(1)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A hash for each band of the smallest values of the shingles under ``BAND_ROWS``
+    functions (MinHash); two sets agree in a band with the power of their similarity."""
+    if not len(shingles):
+        return np.empty(0, np.uint64)
+    masks, odds, weights = _band_functions()
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 512):
+        least = np.minimum(least, ((shingles[at : at + 512] ^ masks) * odds).min(axis=1))
+    least = (least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    least = (least ^ (least >> np.uint64(29))).reshape(BANDS, BAND_ROWS)
+    found = (least * weights).sum(axis=1, dtype=np.uint64)
+    return (found ^ (found >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
+
+
+def band_links(docs: DataFrame, text: str = "text", size: int = NEAR_SHINGLE) -> DataFrame:
+    """``a, b``: for each text (by ``mark``) that agrees with others in a band, the
+    smallest of them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            found = [bands(np.unique(shingle_hashes(t or b"", size))) for t in text_bytes(batch, "_text")]
+            if sum(map(len, found)):
+                marks = batch.column(0).to_numpy(zero_copy_only=False)
+                yield {"mark": np.repeat(marks, [len(f) for f in found]), "band": _signed(np.concatenate(found))}
+
+    chosen = docs.select(text_hash(F.col(text)).alias("mark"), F.col(text).alias("_text"))
+    banded = stage(over_batches(chosen, rows, "mark long, band long"), "bands")
+    shared = stage_measured(
+        banded.groupBy("band").agg(F.min("mark").alias("a"), F.max("mark").alias("last")).where("a < last").select("band", "a"),
+        "shared_bands",
+    )
+    met = lookup(banded, shared.table, ["band"], "inner", facts_bytes=shared.bytes)
+    return met.where("a < mark").select("a", F.col("mark").alias("b")).distinct()
+
+
 def similar_links(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets with a Jaccard similarity of ``least`` or more."""
     found, left = [], list(range(len(nodes)))
@@ -423,34 +464,32 @@ def drop_near_duplicates(
     docs: DataFrame,
     size: int = NEAR_SHINGLE,
     similarity: float = NEAR_SIMILARITY,
-    allowed: int = NEAR_BITS,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that with the
     smallest id (null last).
 
-    Candidates are documents whose fingerprints differ in at most ``allowed`` bits; of
-    them those are linked whose sets of ``size``-word shingles have a Jaccard similarity
-    of ``similarity`` or more. Exact copies are a group, so are all empty and null
-    texts, and rows that agree in id and text. All columns are kept as they are.
+    Candidates are documents whose sets of ``size``-word shingles agree in a band of
+    their smallest hashes; at 0.8, one pair in a million is no candidate, and the nearer
+    the fewer. Of them those are linked that have a Jaccard similarity of ``similarity``
+    or more. Exact copies are a group, so are all empty and null texts, and rows that
+    agree in id and text. All columns are kept as they are.
     """
     prints = stage(
-        fingerprints(docs, key, text).withColumn("id", id_text(F.col("doc_id"))), "fingerprints"
+        docs.select(F.col(key).alias("doc_id"), text_hash(F.col(text)).alias("mark")).withColumn("id", id_text(F.col("doc_id"))),
+        "marks",
     )
-    distinct = stage(prints.groupBy("fp").agg(F.count_distinct("mark").alias("texts")), "distinct_fingerprints")
-    roots = connected(close_fingerprints(distinct.select("fp"), allowed))
-    is_root = roots.table.select(F.col("root").alias("fp")).distinct().withColumn("root", F.col("fp"))
-    grouped = roots.table.select(F.col("node").alias("fp"), "root").unionByName(is_root)
-    alone = distinct.where("texts > 1").select("fp", F.col("fp").alias("root"))
+    roots = connected(band_links(docs, text, size))
+    is_root = roots.table.select(F.col("root").alias("mark")).distinct().withColumn("root", F.col("mark"))
     suspected = stage_measured(
-        grouped.unionByName(alone).groupBy("fp").agg(F.min("root").alias("root")), "suspected"
+        roots.table.select(F.col("node").alias("mark"), "root").unionByName(is_root), "suspected"
     )
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
     # One row for each text: its copies need not be compared.
-    texts = stage_measured(prints.groupBy("mark", "fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "texts")
+    texts = stage_measured(prints.groupBy("mark").agg(F.min(first).alias("first"), F.count("*").alias("n")), "texts")
     suspects = stage_measured(
-        lookup(texts.table, suspected.table, ["fp"], "inner", facts_bytes=suspected.bytes).select(
+        lookup(texts.table, suspected.table, ["mark"], "inner", facts_bytes=suspected.bytes).select(
             F.col("first.id").alias("id"), "mark", "root"
         ),
         "suspects",

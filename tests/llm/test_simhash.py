@@ -130,3 +130,27 @@ def test_similar_links_connect_what_is_similar():
     links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
     nodes = range(len(texts))
     assert naive_components(found, nodes) == naive_components(links, nodes)
+
+
+def test_near_duplicates_of_any_kind_of_edit_are_those_of_brute_force(spark):
+    rng = random.Random(6)
+    own = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    rows = []
+    for _ in range(25):
+        base, size = own(400), rng.randint(20, 46)
+        at = rng.randrange(400 - size)
+        rows += [base, base[:at] + own(size) + base[at + size :]]  # a block replaced
+        base = own(400)
+        rows += [base, base + own(rng.randint(40, 110))]  # more at the end
+        base = own(400)
+        rows += [base, base[: rng.randint(310, 380)]]  # cut off
+        base, sentence = own(390), own(12)
+        rows += [base + sentence, base + sentence * 30]  # a sentence repeated
+        rows.append(own(rng.randint(5, 60)))
+    rows = [" ".join(r) for r in rows]
+    links = [(i, i + 1) for i in range(len(rows) - 1) if jaccard(rows[i], rows[i + 1]) >= 0.8]
+    assert len(links) > 60
+    root = naive_components(links, range(len(rows)))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    found = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect())
+    assert found == sorted(set(root.values()))
