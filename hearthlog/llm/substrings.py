@@ -28,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 200  # bytes
 K = 32  # bytes of an anchor
 BLOCK = 4000  # contexts of an anchor in one task's share
-PLACE_BITS = 20
+PLACE_BITS = 20  # of a place within the stretch of a text that is looked at together
 _ODDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 # ---------------------------------------------------------------- anchors
@@ -50,23 +50,30 @@ def _gram_hashes(text: bytes) -> np.ndarray:
     return found ^ (found >> np.uint64(32))
 
 
+def _least_places(hashes: np.ndarray, grams: int, bits: int) -> np.ndarray:
+    """For each run of ``grams`` hashes the place of the smallest, of equal ones the last."""
+    low = np.uint64((1 << bits) - 1)
+    least, span = (hashes & ~low) | (low - np.arange(len(hashes), dtype=np.uint64)), 1
+    starts = len(hashes) - grams + 1
+    while 2 * span <= grams:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    least = np.minimum(least[:starts], least[grams - span : grams - span + starts])
+    return (low - (least & low)).astype(np.int64)
+
+
 def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Place and hash of each anchor, and the first and last start of the strings that
     it is the anchor of: the smallest hash in the string, of equal ones the last."""
     if len(text) < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     hashes = _gram_hashes(text)
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    least = (hashes & ~low) | (low - (np.arange(len(hashes), dtype=np.uint64) & low))
-    grams, span = length - K + 1, 1  # of a string
+    grams = length - K + 1  # of a string
     starts = len(text) - length + 1
-    while 2 * span <= grams:
-        least, span = np.minimum(least[:-span], least[span:]), 2 * span
-    least = np.minimum(least[:starts], least[grams - span : grams - span + starts])
-    # the place is known up to a multiple of 2^20, and lies within the string
-    start = np.arange(starts)
-    place = (low - (least & low)).astype(np.int64)
-    place = start + ((place - start) & int(low))
+    bits = max(PLACE_BITS, (2 * grams).bit_length())
+    step = (1 << bits) - grams + 1  # strings of a stretch, whose places fit the bits
+    place = np.concatenate([
+        _least_places(hashes[at : at + step + grams - 1], grams, bits) + at for at in range(0, starts, step)
+    ])
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.append(first[1:], starts) - 1
     return place[first], hashes[place[first]], first, last

@@ -66,3 +66,15 @@ def test_removed_bytes_are_those_of_brute_force(spark, monkeypatch, block):
     for i, e in enumerate(expected):
         r = found[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == e, i
+
+
+def test_anchors_of_texts_longer_than_a_stretch(monkeypatch):
+    monkeypatch.setattr(substrings, "PLACE_BITS", 9)
+    rng = random.Random(8)
+    text = b"".join(rng.choice([b" " * 300, bytes(rng.choices(b"abc", k=90)) * 3, bytes(rng.choices(range(256), k=120))]) for _ in range(40))
+    hashes = substrings._gram_hashes(text).tolist()
+    grams, got = substrings.LENGTH - substrings.K + 1, {}
+    for place, _, first, last in zip(*(c.tolist() for c in substrings.anchors(text))):
+        got |= dict.fromkeys(range(first, last + 1), place)
+    for start in range(len(text) - substrings.LENGTH + 1):
+        assert got[start] == min(range(start, start + grams), key=lambda p: (hashes[p] >> 9, -p))
