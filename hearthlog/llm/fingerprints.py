@@ -3,9 +3,9 @@
 A k-mer is an anchor if the smallest of its inner s-mers is its first or its last one.
 That depends on the k-mer alone, so an anchor stays one wherever its characters stand,
 and the anchors of a text that is put together from parts of others are those of the
-parts, but for a few around the seams. A fingerprint keeps the anchors with the
-smallest hashes, with their positions; two are compared by the anchors that they share
-in the same order.
+parts, but for a few around the seams. A fingerprint keeps all anchors of the text,
+with their first positions; two are compared by the anchors that they share in the same
+order.
 """
 
 import bisect
@@ -25,8 +25,7 @@ from hearthlog.llm.common import over_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 K, S = 16, 6  # characters
-KEPT = 48  # anchors of a fingerprint
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_CHARS = 1000, 2_000_000
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -82,8 +81,8 @@ def joined(head: Anchors, tail: Anchors, cut: int, taken: int, head_text: str, t
     )
 
 
-def sketch(anchors: Anchors, text_of, kept: int = KEPT) -> list[tuple[int, int]]:
-    """The anchors with the ``kept`` smallest hashes, each at its first place, by place.
+def sketch(anchors: Anchors, text_of) -> list[tuple[int, int]]:
+    """All different anchors, each at its first place, by place.
 
     A text without anchors has one: all of it.
     """
@@ -91,37 +90,32 @@ def sketch(anchors: Anchors, text_of, kept: int = KEPT) -> list[tuple[int, int]]
         text = text_of()
         whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
         return [(int.from_bytes(whole[:4], "little"), 0)] if text else []
-    order = np.argsort(anchors.hashes, kind="stable")
-    ranked = anchors.hashes[order]
-    first = np.ones(len(ranked), bool)
-    first[1:] = ranked[1:] != ranked[:-1]
-    chosen = order[first][:kept]
-    chosen = chosen[np.argsort(anchors.places[chosen], kind="stable")]
-    return list(zip(anchors.hashes[chosen].tolist(), anchors.places[chosen].tolist()))
+    first: dict[int, int] = {}
+    for h, place in zip(anchors.hashes.tolist(), anchors.places.tolist()):
+        first.setdefault(h, place)
+    return list(first.items())
 
 
 def written(anchors: list[tuple[int, int]]) -> str:
     return ",".join([f"{h:08x}:{p}" for h, p in anchors])
 
 
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], kept: int = KEPT) -> float:
+def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
     """Share of their characters' anchors that two texts have in common, in one order.
 
-    Estimated on the smallest hashes of both together: with r the share of those that
-    both have, 2r / (1 + r). 1 for two empty texts.
+    1 for two empty texts.
     """
     if not a or not b:
         return float(len(a) == len(b))
     at = dict(b)
-    ranked = sorted({h for h, _ in a} | at.keys())[: max(len(a), len(b))]
-    limit = ranked[-1]
     ends: list[int] = []  # the shortest ends of rising runs: the longest one counts
     for h, _ in a:
-        if h <= limit and h in at:
-            place = bisect.bisect_left(ends, at[h])
-            ends[place : place + 1] = [at[h]]
-    r = len(ends) / len(ranked)
-    return 2 * r / (1 + r)
+        if (there := at.get(h)) is not None:
+            if not ends or there > ends[-1]:
+                ends.append(there)
+            else:
+                ends[bisect.bisect_left(ends, there)] = there
+    return 2 * len(ends) / (len(a) + len(b))
 
 
 def _chunk_of(key: Column, starts: list) -> Column:
@@ -181,16 +175,17 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        out, last = [], None
+        out, size, last = [], 0, None
         for batch in batches:
             columns = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for doc_id, value, ahead in zip(*columns):
                 here = (doc_id, value, found := closed_syncmers(value), sketch(found, lambda v=value: v))
                 if last is not None:
                     out.append(_compared(last, here))
-                    if len(out) >= BATCH_ROWS:
+                    size += len(last[1])
+                    if len(out) >= BATCH_ROWS or size >= BATCH_CHARS:
                         yield dict(zip(names, zip(*out)))
-                        out = []
+                        out, size = [], 0
                 last = None if ahead else here
                 if ahead:
                     break  # only the first of those ahead is next to ours

@@ -84,3 +84,15 @@ def test_one_document_is_its_own_next(spark):
     row = fp.fingerprint_documents(docs).first()
     assert row["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and row["near_next"] == 1.0
     assert fp.fingerprint_documents(docs.where("false")).count() == 0
+
+
+def test_long_texts_are_compared_whole():
+    rng = random.Random(5)
+    new = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    sketch = lambda t: fp.sketch(fp.closed_syncmers(t), lambda: t)
+    passage, long = new(550), new(110_000)
+    a, b = new(11_000) + passage + new(11_000), new(5_000) + passage + new(17_000)
+    shared = len(set(sketch(passage)))
+    assert fp.likeness(sketch(a), sketch(b)) >= 1.8 * shared / (len(sketch(a)) + len(sketch(b))) > 0
+    edited = long[:60_000] + new(20) + long[60_020:]
+    assert sketch(edited) != sketch(long) and 0.99 < fp.likeness(sketch(edited), sketch(long)) < 1
