@@ -5,7 +5,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlog.llm import decontamination, fingerprints, licenses, lines, packing, personal_data, quality, simhash, substrings, urls
+from hearthlog.llm import (
+    decontamination,
+    fingerprints,
+    licenses,
+    lines,
+    negatives,
+    packing,
+    personal_data,
+    quality,
+    simhash,
+    substrings,
+    urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,3 +166,31 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.drop_repeated_strings(_table(spark, sf_dir, "documents"))
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@_query(
+    "op11_hard_negatives",
+    """WITH points AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+    parts AS (
+      SELECT vec_id, label, i, floor(256 * CAST(embedding[i] AS DOUBLE)) AS x, embedding[i] IS NULL OR NOT isfinite(embedding[i]) AS bad
+      FROM points, unnest(range(1, len(embedding) + 1)) AS t(i)),
+    sound AS (SELECT * EXCLUDE (bad) FROM parts WHERE vec_id NOT IN (SELECT vec_id FROM parts WHERE bad)),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+      FROM sound a JOIN sound b USING (i) WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+    positives AS (
+      SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER hardest AS INTEGER) AS rank, id AS negative_id,
+           positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW hardest AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+    QUALIFY rank <= 10""",
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(points.withColumn("label", moved), F.col("id") % 100 == 0)
