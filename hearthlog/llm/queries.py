@@ -16,6 +16,7 @@ from hearthlog.llm import (
     quality,
     simhash,
     substrings,
+    token_counts,
     urls,
 )
 
@@ -194,3 +195,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine_hard_negatives(points.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+@_query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
