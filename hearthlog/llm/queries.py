@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthlog.llm import (
     decontamination,
+    fill_in_middle,
     fingerprints,
     licenses,
     lines,
@@ -200,3 +201,35 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_token_counts")
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op13_fill_in_middle",
+    r"""WITH texts AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+    lined AS (
+      SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, CAST('0x' || digest[1:8] AS BIGINT) AS h1,
+             CAST('0x' || digest[9:16] AS BIGINT) AS h2, CAST('0x' || digest[17:24] AS BIGINT) AS h3,
+             CAST('0x' || digest[25:32] AS BIGINT) AS h4 FROM texts),
+    cuts AS (
+      SELECT doc_id, text, lines, len(lines) AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a,
+             greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+                  THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM lined),
+    parts AS (
+      SELECT doc_id, text, n, form, array_to_string(lines[1:a], '') AS prefix,
+             array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM cuts)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+           sha256(text) AS restored_sha256 FROM parts""",
+)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
