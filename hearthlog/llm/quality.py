@@ -189,12 +189,15 @@ def fit_quality(
     """Fit on at most ``sample`` rated documents, chosen by a hash of their ids.
 
     ``ratings`` has ``doc_id, grade``. A document with several ratings counts with the
-    lowest; null ids and grades do not count.
+    lowest, an id with several texts with the first of them in their order; null ids and
+    grades do not count.
     """
     graded = ratings.dropna(subset=["doc_id", "grade"]).groupBy("doc_id").agg(F.min("grade").alias("_grade"))
     rated = bounded_sample(graded, sample, "doc_id").withColumnRenamed("doc_id", "_rated")
     # The sample's size is a parameter.
-    chosen = docs.select(F.col(key).alias("_rated"), F.col(text).alias("_text")).join(F.broadcast(rated), "_rated")
+    texts = docs.select(F.col(key).alias("_rated"), F.col(text).alias("_text")).join(F.broadcast(rated), "_rated")
+    # One row for each id, whatever its rows are: the ratings bound what is collected.
+    chosen = texts.groupBy("_rated").agg(F.first("_grade").alias("_grade"), F.min("_text").alias("_text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         slots = Slots()
@@ -229,7 +232,8 @@ def with_quality(
     import pandas as pd
 
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    judged = F.pandas_udf(scored, "expected double, chance double")
+    # Not to be copied into a filter on the chance, which would run the model twice.
+    judged = F.pandas_udf(scored, "expected double, chance double").asNondeterministic()
     [name] = fresh_names(docs, "judged")
     found = docs.withColumn(name, judged(F.col(text)))
     return found.withColumns({grade_name: F.col(f"{name}.expected"), chance_name: F.col(f"{name}.chance")}).drop(name)

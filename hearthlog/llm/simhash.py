@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from hearthlog.llm.common import fresh_names, id_text, in_blocks, over_batches, text_bytes, text_hash
 from hearthlog.llm.components import connected
 from hearthlog.operators.lookup import lookup
-from hearthlog.staging import Staged, stage, stage_measured
+from hearthlog.staging import stage, stage_measured
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,11 +39,6 @@ ROW_COST, PAIR_COST = 3e-6, 3e-9  # seconds for a row in the shuffle and for a c
 BLOCK = 20_000  # fingerprints of a bucket that one task compares; larger buckets are split
 SMALL_BUCKET = 48
 
-NEAR_SHINGLE = 5
-NEAR_SIMILARITY = 0.8
-BANDS, BAND_ROWS = 46, 6  # sets that are 0.8 alike agree in no band once in a million times
-TEXT_BLOCK = 500
-
 # ---------------------------------------------------------------- fingerprints
 
 
@@ -279,6 +274,8 @@ def close_fingerprints(prints: DataFrame, allowed: int = LINK_BITS) -> DataFrame
     most ``allowed`` differing bits, as many as connect all that such links connect."""
     n, both = bit_counts(prints)
     parts = plan_parts(n, both, allowed)
+    if n and not parts:
+        raise ValueError(f"no plan finds fingerprints at {allowed} bits")
 
     def spread(visits: bool):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -332,6 +329,13 @@ def close_fingerprints(prints: DataFrame, allowed: int = LINK_BITS) -> DataFrame
     return over_batches(gathered, links, "a long, b long")
 
 
+def _rooted(prints: DataFrame, allowed: int) -> DataFrame:
+    """``prints``, one row for each fingerprint, with the ``root`` of its component."""
+    roots = connected(close_fingerprints(prints, allowed))
+    found = lookup(prints, roots.table.withColumnRenamed("node", "fp"), ["fp"], facts_bytes=roots.bytes)
+    return stage(found.select(*prints.columns, F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def link_documents(docs: DataFrame, allowed: int = LINK_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp, component_id``: a row per row of ``docs``.
 
@@ -342,13 +346,7 @@ def link_documents(docs: DataFrame, allowed: int = LINK_BITS, key: str = "doc_id
     prints = stage(fingerprints(docs, key, text).drop("mark"), "fingerprints")
     # Copies count once from here on.
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
-    roots = connected(close_fingerprints(distinct))
-    rooted = stage(
-        lookup(distinct, roots.table.withColumnRenamed("node", "fp"), ["fp"], facts_bytes=roots.bytes).select(
-            "fp", "least", F.coalesce("root", "fp").alias("root")
-        ),
-        "rooted",
-    )
+    rooted = _rooted(distinct, allowed)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     facts = stage_measured(
         lookup(rooted.select("fp", "root"), named, ["root"], "inner").select("fp", "component_id"), "classes"
@@ -356,171 +354,41 @@ def link_documents(docs: DataFrame, allowed: int = LINK_BITS, key: str = "doc_id
     return lookup(prints, facts.table, ["fp"], "left", facts_bytes=facts.bytes).select("doc_id", "fp", "component_id")
 
 
-# ---------------------------------------------------------------- near-duplicates
-
-
-def _band_functions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    drawn = np.random.default_rng(SEED).integers(0, 2**64, (3, BANDS * BAND_ROWS), dtype=np.uint64)
-    return drawn[0][:, None], drawn[1][:, None] | np.uint64(1), drawn[2].reshape(BANDS, BAND_ROWS) | np.uint64(1)
-
+def drop_near_duplicates(docs: DataFrame, allowed: int = LINK_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of ``link_documents``, that with the
+    smallest id (null last), with all columns as they are.
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A hash for each band of the smallest values of the shingles under ``BAND_ROWS``
-    functions (MinHash); two sets agree in a band with the power of their similarity."""
-    if not len(shingles):
-        return np.empty(0, np.uint64)
-    masks, odds, weights = _band_functions()
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), 512):
-        least = np.minimum(least, ((shingles[at : at + 512] ^ masks) * odds).min(axis=1))
-    least = (least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    least = (least ^ (least >> np.uint64(29))).reshape(BANDS, BAND_ROWS)
-    found = (least * weights).sum(axis=1, dtype=np.uint64)
-    return (found ^ (found >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
-
-
-def band_links(docs: DataFrame, text: str = "text", size: int = NEAR_SHINGLE) -> DataFrame:
-    """``a, b``: for each text (by ``mark``) that agrees with others in a band, the
-    smallest of them."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            found = [bands(np.unique(shingle_hashes(t or b"", size))) for t in text_bytes(batch, "_text")]
-            if sum(map(len, found)):
-                marks = batch.column(0).to_numpy(zero_copy_only=False)
-                yield {"mark": np.repeat(marks, [len(f) for f in found]), "band": _signed(np.concatenate(found))}
-
-    chosen = docs.select(text_hash(F.col(text)).alias("mark"), F.col(text).alias("_text"))
-    banded = stage(over_batches(chosen, rows, "mark long, band long"), "bands")
-    shared = stage_measured(
-        banded.groupBy("band").agg(F.min("mark").alias("a"), F.max("mark").alias("last")).where("a < last").select("band", "a"),
-        "shared_bands",
-    )
-    met = lookup(banded, shared.table, ["band"], "inner", facts_bytes=shared.bytes)
-    return met.where("a < mark").select("a", F.col("mark").alias("b")).distinct()
-
-
-def similar_links(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets with a Jaccard similarity of ``least`` or more."""
-    found, left = [], list(range(len(nodes)))
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(np.concatenate(sets), kind="stable") if len(owner) else np.empty(0, np.int64)
-    values = np.concatenate(sets)[order] if len(owner) else np.empty(0, np.uint64)
-    holders = owner[order]
-
-    def common(one: int) -> np.ndarray:
-        first, last = np.searchsorted(values, sets[one]), np.searchsorted(values, sets[one], side="right")
-        own = [holders[a:b] for a, b in zip(first, last)]
-        return np.bincount(np.concatenate(own), minlength=len(sets)) if own else np.zeros(len(sets), np.int64)
-
-    while left:
-        reached = [left.pop()]
-        while reached and left:
-            here = reached.pop()
-            shared = common(here)[left]
-            union = sizes[here] + sizes[left] - shared
-            close = (shared >= least * union) & (union > 0)
-            near = [n for n, c in zip(left, close) if c]
-            found += [(nodes[here], nodes[n]) for n in near]
-            left = [n for n, c in zip(left, close) if not c]
-            reached.extend(near)
-    return found
-
-
-def _text_links(docs: DataFrame, suspects: Staged, key: str, text: str, size: int, least: float) -> DataFrame:
-    """``a, b``: links between texts (by ``mark``) of one ``root`` that are similar enough."""
-    chosen = docs.select(id_text(F.col(key)).alias("id"), text_hash(F.col(text)).alias("mark"), F.col(text).alias("_text"))
-    texts = lookup(chosen, suspects.table, ["id", "mark"], "inner", facts_bytes=suspects.bytes)
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t or b"", size)) for t in text_bytes(batch, "_text")]
-            if sets:
-                yield {"root": batch.column(0), "mark": batch.column(1), "shingles": [s.tobytes() for s in sets]}
-
-    sets = over_batches(texts.select("root", "mark", "_text"), shingled, "root long, mark long, shingles binary")
-    large = stage_measured(
-        suspects.table.groupBy("root")
-        .agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"))
-        .where("blocks > 1"),
-        "large_groups",
-    )
-    rows = in_blocks(sets, ["root"], large, "mark")
-
-    def links(group):
-        first = group.drop_duplicates("mark")
-        pairs = similar_links(
-            first["mark"].tolist(), [np.frombuffer(b, np.uint64) for b in first["shingles"]], least
-        )
-        import pandas as pd
-
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("root", "block").applyInPandas(links, "a long, b long")
-
-
-def drop_near_duplicates(
-    docs: DataFrame,
-    size: int = NEAR_SHINGLE,
-    similarity: float = NEAR_SIMILARITY,
-    key: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, that with the
-    smallest id (null last).
-
-    Candidates are documents whose sets of ``size``-word shingles agree in a band of
-    their smallest hashes; at 0.8, one pair in a million is no candidate, and the nearer
-    the fewer. Of them those are linked that have a Jaccard similarity of ``similarity``
-    or more. Exact copies are a group, so are all empty and null texts, and rows that
-    agree in id and text. All columns are kept as they are.
+    Exact copies are a component, and so are all texts without words, null texts among
+    them. Of rows that agree in id and text one stays.
     """
-    prints = stage(
-        docs.select(F.col(key).alias("doc_id"), text_hash(F.col(text)).alias("mark")).withColumn("id", id_text(F.col("doc_id"))),
-        "marks",
-    )
-    roots = connected(band_links(docs, text, size))
-    is_root = roots.table.select(F.col("root").alias("mark")).distinct().withColumn("root", F.col("mark"))
-    suspected = stage_measured(
-        roots.table.select(F.col("node").alias("mark"), "root").unionByName(is_root), "suspected"
-    )
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
-    # One row for each text: its copies need not be compared.
-    texts = stage_measured(prints.groupBy("mark").agg(F.min(first).alias("first"), F.count("*").alias("n")), "texts")
-    suspects = stage_measured(
-        lookup(texts.table, suspected.table, ["mark"], "inner", facts_bytes=suspected.bytes).select(
-            F.col("first.id").alias("id"), "mark", "root"
+    prints = stage(fingerprints(docs, key, text).withColumn("id", id_text(F.col("doc_id"))), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "mark"))
+    distinct = stage(prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), "distinct_fingerprints")
+    rooted = _rooted(distinct, allowed)
+    groups = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n")).where("n > 1")
+    # The fingerprints of all groups of several rows, with the row that stays.
+    stays = stage_measured(
+        lookup(rooted.select("fp", "root"), groups, ["root"], "inner").select(
+            "fp", F.col("best.id").alias("stays_id"), F.col("best.mark").alias("stays_mark")
         ),
-        "suspects",
+        "stays",
     )
-    classes = connected(_text_links(docs, suspects, key, text, size, similarity))
-    classed = stage(
-        lookup(texts.table, classes.table.withColumnRenamed("node", "mark"), ["mark"], facts_bytes=classes.bytes).select(
-            "mark", "first", "n", F.coalesce("root", "mark").alias("class")
-        ),
-        "classed",
-    )
-    best = F.min(F.struct("first", "mark"))
-    groups = classed.groupBy("class").agg(best.alias("best"), F.sum("n").alias("n")).where("n > 1")
-    # The class of every text that is not alone, with the row that stays.
-    facts = stage_measured(
-        lookup(classed.select("mark", "class"), groups, ["class"], "inner").select(
-            "mark", F.col("best.first.id").alias("stays_id"), F.col("best.mark").alias("stays_mark")
-        ),
-        "kept",
+    grouped = stage(
+        lookup(prints.select("fp", "id", "mark"), stays.table, ["fp"], "inner", facts_bytes=stays.bytes)
+        .withColumn("stays", (F.col("id") == F.col("stays_id")) & (F.col("mark") == F.col("stays_mark")))
+        .groupBy("id", "mark", "stays")
+        .agg(F.count("*").alias("n")),
+        "grouped",
     )
-    row_id, row_mark, stays_id, stays_mark = fresh_names(docs, "row_id", "row_mark", "stays_id", "stays_mark")
+    row_id, row_mark = fresh_names(docs, "row_id", "row_mark")
+    key_of = [F.col("id").alias(row_id), F.col("mark").alias(row_mark)]
+    dropped = stage_measured(grouped.where("not stays").select(*key_of), "dropped")
     marked = docs.withColumns({row_id: id_text(F.col(key)), row_mark: text_hash(F.col(text))})
-    known = facts.table.toDF(row_mark, stays_id, stays_mark)
-    found = lookup(marked, known, [row_mark], "left", facts_bytes=facts.bytes)
-    stays = F.col(stays_id).isNull() | ((F.col(stays_id) == F.col(row_id)) & (F.col(stays_mark) == F.col(row_mark)))
-    kept = found.where(stays)
+    kept = lookup(marked, dropped.table, [row_id, row_mark], "left_anti", facts_bytes=dropped.bytes)
     # Rows alike in id and text: only these, which are few, are shuffled.
-    alike = stage_measured(prints.groupBy("id", "mark").count().where("count > 1").select("id", "mark"), "alike")
+    alike = stage_measured(grouped.where("stays and n > 1").select(*key_of), "alike")
     if alike.bytes:
-        twins = alike.table.toDF(row_id, row_mark)
-        one_of = lookup(kept, twins, [row_id, row_mark], "left_semi", facts_bytes=alike.bytes)
-        others = lookup(kept, twins, [row_id, row_mark], "left_anti", facts_bytes=alike.bytes)
-        kept = others.unionByName(one_of.dropDuplicates([row_id, row_mark]))
+        twins = lookup(kept, alike.table, [row_id, row_mark], "left_semi", facts_bytes=alike.bytes)
+        others = lookup(kept, alike.table, [row_id, row_mark], "left_anti", facts_bytes=alike.bytes)
+        kept = others.unionByName(twins.dropDuplicates([row_id, row_mark]))
     return kept.select(*docs.columns)

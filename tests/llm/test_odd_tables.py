@@ -4,7 +4,18 @@ import numpy as np
 import pytest
 import xxhash
 
-from hearthlog.llm import decontamination, fingerprints, licenses, lines, packing, personal_data, simhash, substrings
+from hearthlog.llm import (
+    decontamination,
+    fill_in_middle,
+    fingerprints,
+    licenses,
+    lines,
+    packing,
+    personal_data,
+    simhash,
+    substrings,
+    token_counts,
+)
 
 
 def bytes_as_ids():
@@ -21,6 +32,8 @@ OPERATORS = {
     "fingerprints": lambda docs, items: fingerprints.fingerprint_documents(docs),
     "simhash": lambda docs, items: simhash.link_documents(docs),
     "near": lambda docs, items: simhash.drop_near_duplicates(docs),
+    "tokens": lambda docs, items: token_counts.count_tokens(docs),
+    "middle": lambda docs, items: fill_in_middle.fill_in_middle(docs),
     "licenses": lambda docs, items: licenses.scan_licenses(docs),
     "decontamination": lambda docs, items: decontamination.benchmark_matches(docs, items),
     "substrings": lambda docs, items: substrings.drop_repeated_strings(docs),

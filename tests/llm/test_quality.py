@@ -78,3 +78,19 @@ def test_partitions_do_not_matter(spark):
     ratings = spark.createDataFrame([(i, q + 1 - x) for i, q, x in marks], "doc_id long, grade int")
     one, many = (quality.fit_quality(docs.repartition(n), ratings) for n in (1, 7))
     assert one.weights == many.weights and (one.thresholds == many.thresholds).all()
+
+
+def test_the_model_runs_once_per_text(spark):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    scored = quality.with_quality(docs, quality.Model({}, np.array([0.0, 1.0]))).where("top_chance >= 0.1")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_rated_id_on_many_rows_counts_once(spark):
+    rows = [(1, f"text {i}") for i in range(500)] + [(i, "word word") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(1, 30)], "doc_id long, grade int")
+    once = docs.where("doc_id > 1 or text = 'text 0'")
+    one, many = (quality.fit_quality(d, ratings) for d in (once, docs))
+    assert one.weights == many.weights and (one.thresholds == many.thresholds).all()
