@@ -35,8 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 of its five-word shingles or more."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group linked by SimHash: 3-word shingles, at most 3 bits."""
+    return simhash.drop_near_duplicates(docs, simhash.LINK_BITS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
