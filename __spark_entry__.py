@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlog.functions.clock import as_time
-from hearthlog.operators import attach, cleaning, days, forest, labels, markov, reports
+from hearthlog.operators import attach, boxes, cleaning, days, forest, labels, markov, reports
 from hearthlog.plans import jobs
 from hearthlog.settings import Settings
 from hearthlog.sources import metadata, readings, tables
@@ -618,6 +618,37 @@ def _iforest_fixed_forest(spark, sf_dir):
     return _rounded(scored, "iforest_score").select("event_id", "iforest_score")
 
 
+# The same forest as boxes: (tree, lo1, hi1, lo2, hi2, lo3, hi3, h); codes are small.
+_SQL_BOXES = """boxes(tree, lo1, hi1, lo2, hi2, lo3, hi3, h) AS (VALUES
+      (0, -9, 2, -9, 0.25, -9, 9, 4.0), (0, -9, 2, 0.25, 9, -9, 9, 2.0), (0, 2, 999, -9, 9, -9, 9, 1.5),
+      (1, -9, 999, -9, 9, -9, -0.5, 3.25), (1, -9, 3, -9, 9, -0.5, 9, 6.0),
+      (1, 3, 999, -9, 0.9, -0.5, 9, 5.0), (1, 3, 999, 0.9, 9, -0.5, 9, 2.5))"""
+
+
+@_query(
+    "iforest_box_scores",
+    f"""WITH {_sql_events()}, {_SQL_FEATURES}, {_SQL_BOXES}
+    SELECT event_id, round(0.5 - power(2, -(avg(h) / (2 * (ln(255) + 0.5772156649) - 2 * 255.0 / 256))), 9) AS iforest_score
+    FROM features JOIN boxes ON enc >= lo1 AND enc < hi1 AND s >= lo2 AND s < hi2 AND c >= lo3 AND c < hi3
+    GROUP BY event_id""",
+)
+def _iforest_box_scores(spark, sf_dir):
+    """The fixed forest as steps over the time of day, without Python and without a join."""
+    nodes = pd.DataFrame(FIXED_FOREST, columns=["tree", "node", "feature", "threshold", "path"])
+    points = labels.with_label_code(_events(spark, sf_dir))
+    scored = boxes.with_forest_score_by_time(points, forest.Forest(nodes, 256))
+    return _rounded(scored, "iforest_score").select("event_id", "iforest_score")
+
+
+@_query("iforest_both_scorers", f"WITH {_sql_events(_SQL_FINE)} SELECT event_id, TRUE AS agree FROM raw")
+def _iforest_both_scorers(spark, sf_dir):
+    """A fitted forest: whether its steps give a reading the score of its trees."""
+    points = labels.with_features(_events(spark, sf_dir, _fine_sensor()), exact=True)
+    model = forest.fit_forest(points, ORDER, seed=42)
+    both = boxes.with_forest_score_by_time(forest.with_forest_score(points, model, "walked"), model, name="looked_up")
+    return both.select("event_id", (F.round("walked", 9) == F.round("looked_up", 9)).alias("agree"))
+
+
 def _forest_scored(spark, sf_dir):
     points = labels.with_features(_events(spark, sf_dir))
     return forest.with_forest_score(points, forest.fit_forest(points, ORDER, seed=42))

@@ -60,9 +60,17 @@ def earlier(ts: Column, by_micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", -by_micros, ts)
 
 
-def cyclical(ts: Column, period_seconds: float = DAY_SECONDS) -> tuple[Column, Column]:
-    """Sine and cosine of the position of ``ts`` within a repeating period."""
-    angle = epoch_seconds(ts) / F.lit(float(period_seconds)) * F.lit(2.0) * F.lit(math.pi)
+def cyclical(ts: Column, period_seconds: float = DAY_SECONDS, exact: bool = False) -> tuple[Column, Column]:
+    """Sine and cosine of the position of ``ts`` within a repeating period.
+
+    Seconds since 1970 are so many that the values of equal positions differ by about
+    1e-11. With ``exact`` they do not, if the period is of whole microseconds.
+    """
+    if exact and float(period_seconds * MICROS_PER_SECOND).is_integer():
+        turns = micros_of_bin(ts, period_seconds) / F.lit(float(period_seconds * MICROS_PER_SECOND))
+    else:
+        turns = epoch_seconds(ts) / F.lit(float(period_seconds))
+    angle = turns * F.lit(2.0) * F.lit(math.pi)
     return F.sin(angle), F.cos(angle)
 
 

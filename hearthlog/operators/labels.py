@@ -34,8 +34,10 @@ def with_label_code(
     )
 
 
-def with_cyclical(log: DataFrame, ts: str = "dt", period_seconds: float = DAY_SECONDS) -> DataFrame:
-    sine, cosine = cyclical(F.col(ts), period_seconds)
+def with_cyclical(
+    log: DataFrame, ts: str = "dt", period_seconds: float = DAY_SECONDS, exact: bool = False
+) -> DataFrame:
+    sine, cosine = cyclical(F.col(ts), period_seconds, exact)
     return log.withColumns({"sinTransform": sine, "cosTransform": cosine})
 
 
@@ -45,6 +47,7 @@ def with_features(
     sensor: str = "sensor",
     period_seconds: float = DAY_SECONDS,
     labels: DataFrame | None = None,
+    exact: bool = False,
 ) -> DataFrame:
-    """Add ``sensorEnc, sinTransform, cosTransform``."""
-    return with_label_code(with_cyclical(log, ts, period_seconds), sensor, labels=labels)
+    """Add ``sensorEnc, sinTransform, cosTransform``; ``exact`` as in ``cyclical``."""
+    return with_label_code(with_cyclical(log, ts, period_seconds, exact), sensor, labels=labels)

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthlog.operators.boxes import with_forest_score_by_time
 from hearthlog.operators.cleaning import debounce, drop_noise, shift_delays, with_role
 from hearthlog.operators.days import (
     anomaly_counts,
@@ -16,8 +17,8 @@ from hearthlog.operators.days import (
     shape_deviation,
     tile_rasters,
 )
-from hearthlog.operators.forest import fit_forest, with_forest_score
-from hearthlog.operators.labels import with_features
+from hearthlog.operators.forest import fit_forest
+from hearthlog.operators.labels import with_cyclical, with_features
 from hearthlog.operators.markov import fit_transitions, pair_counts, with_transition_prob
 from hearthlog.operators.ordering import Numbered, with_neighbour
 from hearthlog.operators.reports import point_anomalies
@@ -65,7 +66,9 @@ def score(log: DataFrame, order: list[str] = LOG_ORDER, settings: Settings = Set
     laid_out = with_neighbour(log, order, ["sensor"], "_next", number=("_position", F.col("dt").isNotNull()))
     ordered = laid_out.table.withColumn("next_sensor", F.col("_next.sensor")).drop("_next")
     pairs = stage_measured(pair_counts(ordered), "pairs")
-    featured = with_features(ordered, period_seconds=settings.period_seconds, labels=pairs.table)
+    period = settings.period_seconds
+    # The forest sees equal times of day as equal, and can be scored by the time.
+    featured = with_features(ordered, period_seconds=period, labels=pairs.table, exact=True)
     forest = fit_forest(
         featured,
         order,
@@ -75,7 +78,8 @@ def score(log: DataFrame, order: list[str] = LOG_ORDER, settings: Settings = Set
         numbered=Numbered(featured, laid_out.total),
     )
     likely = with_transition_prob(featured, fit_transitions(pairs))
-    return with_forest_score(likely, forest).select(
+    scored = with_forest_score_by_time(likely, forest, period_seconds=period)
+    return with_cyclical(scored, period_seconds=period).select(
         *log.columns, "sinTransform", "cosTransform", MARKOV, FOREST
     )
 
