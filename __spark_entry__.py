@@ -478,6 +478,45 @@ def _last_n_days(spark, sf_dir):
     return days.last_days(_events(spark, sf_dir), 7)
 
 
+@_query("last_days_pruned", SQL["last_n_days"])
+def _last_days_pruned(spark, sf_dir):
+    """The same from a dataset by day, of which only these days are opened."""
+    path = new_stage_path(spark, "by_day")
+    tables.write_days(_events(spark, sf_dir), path)
+    return tables.read_last_days(spark, path, 7)
+
+
+@_query(
+    "last_bins_pruned",
+    f"""WITH {_sql_events()},
+    binned AS (SELECT *, epoch_us(dt) // 21600000000 AS bin FROM raw)
+    SELECT event_id, dt, sensor FROM binned WHERE bin IN (SELECT DISTINCT bin FROM binned ORDER BY bin DESC LIMIT 10)""",
+)
+def _last_bins_pruned(spark, sf_dir):
+    """The last ten bins of six hours of a dataset by day."""
+    path = new_stage_path(spark, "by_day")
+    tables.write_days(_events(spark, sf_dir), path)
+    return tables.read_last_days(spark, path, 10, bin_seconds=6 * 3600.0)
+
+
+@_query("replace_in_place", SQL["debounce"])
+def _replace_in_place(spark, sf_dir):
+    """A dataset that is replaced by what is computed from it."""
+    path = new_stage_path(spark, "log")
+    tables.write_table(_events(spark, sf_dir), path)
+    tables.write_table(cleaning.debounce(tables.read_table(spark, path), ["event_id"]), path)
+    return tables.read_table(spark, path)
+
+
+@_query("csv_report_single", SQL["csv_report"])
+def _csv_report_single(spark, sf_dir):
+    """The report as one file, copied from its sorted parts."""
+    out = new_stage_path(spark, "report")
+    found = reports.point_anomalies(_markov(_events(spark, sf_dir, _fine_sensor())), "markov_prob", 0.01, place=["event_id"])
+    tables.write_report(found, out, ["event_id"], single=True)
+    return _rounded(tables.read_report(spark, f"{out}.csv", "markov_prob"), "markov_prob")
+
+
 @_query(
     "day_bounds",
     f"""WITH {_sql_events()}

@@ -25,7 +25,16 @@ from hearthlog.operators.reports import point_anomalies
 from hearthlog.settings import Settings
 from hearthlog.sources.metadata import read_metadata
 from hearthlog.sources.readings import INPUT_ORDER, read_raw, with_event_time
-from hearthlog.sources.tables import read_role, read_table, write_by_role, write_report, write_table
+from hearthlog.sources.tables import (
+    read_days,
+    read_last_days,
+    read_role,
+    read_table,
+    write_by_role,
+    write_days,
+    write_report,
+    write_table,
+)
 from hearthlog.staging import stage, stage_measured, stage_scope
 
 MARKOV, FOREST = "markov_prob", "iforest_score"
@@ -85,11 +94,11 @@ def score(log: DataFrame, order: list[str] = LOG_ORDER, settings: Settings = Set
 
 
 def get_scores(spark: SparkSession, cleaned: str, out: str, settings: Settings = Settings()) -> None:
-    """Score the activity readings of ``cleaned`` into a new dataset."""
+    """Score the activity readings of ``cleaned`` into a new dataset, by day."""
     if cleaned.rstrip("/") == out.rstrip("/"):
         raise ValueError("the scored dataset needs a path of its own")
     with stage_scope(spark):
-        write_table(score(read_role(spark, cleaned, "activity"), settings=settings), out)
+        write_days(score(read_role(spark, cleaned, "activity"), settings=settings), out)
 
 
 @dataclass(frozen=True)
@@ -107,13 +116,17 @@ def probability_signals(
     thresholds: dict[str, float],
     out: str | None = None,
     settings: Settings = Settings(),
+    kept: DataFrame | None = None,
 ) -> dict[str, SignalReport]:
     """Report several signals, reading the kept days twice for all of them.
 
+    ``kept`` has the readings of the last days, if they need not be looked for.
+
     With ``out``, each report's anomalies, raster and days are written below that
     folder and read from there.
     """
-    kept = last_days(scored, settings.days_kept, bin_seconds=settings.bin_seconds)
+    if kept is None:
+        kept = last_days(scored, settings.days_kept, bin_seconds=settings.bin_seconds)
     daily = stage(daily_signals(kept, thresholds, bin_seconds=settings.bin_seconds), "daily")
     rasters = stage(
         tile_rasters(
@@ -129,7 +142,7 @@ def probability_signals(
         days = counts.join(shape_deviation(raster), "day", "left")
         if out:
             place = [c for c in INPUT_ORDER if c in scored.columns]
-            write_report(point_anomalies(scored, signal, threshold, place=place), f"{out}/{signal}_anomalies", place)
+            write_report(point_anomalies(scored, signal, threshold, place=place), f"{out}/{signal}_anomalies", place, settings.single_report)
             raster = _written(raster, f"{out}/{signal}_raster")
             days = _written(days, f"{out}/{signal}_days")
         reports[signal] = SignalReport(
@@ -159,7 +172,8 @@ def run_all(
     """Clean, score and report both signals below the folder ``out``; nothing else stays."""
     prepare_data(spark, csv, metadata, f"{out}/cleaned", settings)
     get_scores(spark, f"{out}/cleaned", f"{out}/scored", settings)
-    scored = read_table(spark, f"{out}/scored")
+    scored = read_days(spark, f"{out}/scored")
+    kept = read_last_days(spark, f"{out}/scored", settings.days_kept, bin_seconds=settings.bin_seconds)
     thresholds = {MARKOV: settings.markov_threshold, FOREST: settings.forest_threshold}
     with stage_scope(spark):
-        return probability_signals(scored, thresholds, out, settings)
+        return probability_signals(scored, thresholds, out, settings, kept)
