@@ -200,6 +200,36 @@ def _csv_roundtrip(spark, sf_dir):
     return readings.with_event_time(raw).select("dt", "event", "sensor")
 
 
+@_query(
+    "csv_line_breaks",
+    """SELECT ts AS dt, CASE WHEN event_id % 3 = 0 THEN 'a' || chr(10) || '"' || CAST(event_id AS VARCHAR) || ',' || chr(10) || chr(10)
+                         ELSE CAST(event_id AS VARCHAR) END AS event,
+           event_type || CASE WHEN event_id % 7 = 0 THEN chr(10) || 'x' ELSE '' END AS sensor FROM events""",
+)
+def _csv_line_breaks(spark, sf_dir):
+    """A log with line breaks in quoted fields, in files of several blocks."""
+    path = new_stage_path(spark, "quoted")
+    log = _events(spark, sf_dir)
+    number = F.col("event_id").cast("string")
+    broken = F.concat(F.lit('"a\n""'), number, F.lit(',\n\n"'))
+    log.orderBy("event_id").select(
+        F.concat_ws(
+            ",",
+            F.when(F.col("event_id") % 3 == 0, broken).otherwise(number),
+            F.date_format("dt", "yyyy-MM-dd"),
+            F.date_format("dt", "HH:mm:ss.SSSSSS"),
+            F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('"'), F.col("sensor"), F.lit('\nx"'))).otherwise(F.col("sensor")),
+        ).alias("value")
+    ).coalesce(2).write.text(path)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        raw = readings.read_raw(spark, path, multi_line=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    return readings.with_event_time(raw).select("dt", "event", "sensor")
+
+
 @_query(
     "noise_filter",
     f"""WITH {_sql_events(_SQL_PATCHY)}

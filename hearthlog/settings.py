@@ -26,7 +26,7 @@ class Settings:
     forest_threshold: float = FOREST_THRESHOLD
     days_kept: int = DAYS_KEPT
     bin_seconds: float = DAY_SECONDS  # of what a report calls a day
-    multi_line: bool = False  # quoted fields may hold line breaks; files are then not split
+    multi_line: bool = False  # quoted fields may hold line breaks
     single_report: bool = False  # each report also as one CSV file
     raster_columns: int = 24
     raster_rows: int = 20

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlog.functions.clock import event_time
+from hearthlog.sources.quoted import quoted_records
 
 RAW_SCHEMA = "event string, date string, time string, sensor string"
 RAW_COLUMNS = ("event", "date", "time", "sensor")
@@ -27,20 +28,24 @@ def read_raw(
     task, so it orders the rows of a block. Missing fields at the end of a line are
     null; a line with a fifth field raises when it is read, unless ``strict`` is off,
     which drops the field. Quoted fields may hold line breaks with ``multi_line`` only,
-    and then no file is split.
+    which reads the lines once more (see ``quoted``).
     """
-    reader = spark.read.schema(f"{RAW_SCHEMA}, surplus string").option("escape", '"')
-    raw = reader.option("multiLine", multi_line).csv(path)
+    schema = f"{RAW_SCHEMA}, surplus string"
+    if multi_line:
+        placed = quoted_records(spark, path)
+        raw = placed.select(F.from_csv("record", schema, {"escape": '"'}).alias("fields"), *INPUT_ORDER).select("fields.*", *INPUT_ORDER)
+    else:
+        raw = spark.read.schema(schema).option("escape", '"').csv(path).select(
+            "*",
+            F.col("_metadata.file_path").alias("input_file"),
+            F.col("_metadata.file_block_start").alias("input_block"),
+            F.monotonically_increasing_id().alias("input_row"),
+        )
     fields = {c: F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)) for c in RAW_COLUMNS}
     if strict:
         refuse = F.raise_error(F.concat(F.lit("more than four fields: "), F.col("surplus"))).cast("string")
         fields["event"] = F.when(F.col("surplus").isNull(), fields["event"]).otherwise(refuse)
-    return raw.select(
-        *[field.alias(c) for c, field in fields.items()],
-        F.col("_metadata.file_path").alias("input_file"),
-        F.col("_metadata.file_block_start").alias("input_block"),
-        F.monotonically_increasing_id().alias("input_row"),
-    )
+    return raw.select(*[field.alias(c) for c, field in fields.items()], *INPUT_ORDER)
 
 
 def with_event_time(raw: DataFrame, strict: bool = True, pattern: str | None = None) -> DataFrame:
