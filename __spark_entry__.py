@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlog.functions.clock import as_time
-from hearthlog.operators import attach, boxes, cleaning, days, forest, labels, markov, reports
-from hearthlog.plans import jobs
+from hearthlog.operators import attach, boxes, cleaning, days, forest, labels, markov, reports, summaries
+from hearthlog.plans import jobs, model
 from hearthlog.settings import Settings
 from hearthlog.sources import metadata, readings, tables
 from hearthlog.staging import new_stage_path, stage
@@ -174,6 +174,15 @@ _SQL_SHAPE = """shares AS (
     shapes AS (SELECT day, sum(abs(p - m)) / 2 AS tv FROM apart GROUP BY day)"""
 
 
+_SQL_IN_RANGE = "TRUE AS has_score, TRUE AS in_range"
+
+
+def _score_checked(scored, name="iforest_score"):
+    """The score depends on the seed; that there is one, and its range, do not."""
+    in_range = F.col(name).between(-0.5, 0.5)
+    return scored.withColumns({"has_score": F.col(name).isNotNull(), "in_range": in_range}).drop(name)
+
+
 # ---------------------------------------------------------------- queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,6 +393,44 @@ def _transition_matrix_sx(spark, sf_dir):
     return markov.transition_table(markov.with_next_sensor(log, ORDER))
 
 
+@_query("transition_matrix_by_runs", SQL["transition_matrix"])
+def _transition_matrix_by_runs(spark, sf_dir):
+    """Three batches, cut within days, summarised one by one and merged."""
+    path = new_stage_path(spark, "summary")
+    log = stage(cleaning.debounce(_events(spark, sf_dir), ["event_id"]), "log")
+    cuts = [F.lit(t).cast("timestamp_ntz") for t in ("2024-01-09 13:20:00", "2024-01-20 02:00:00")]
+    batches = [F.col("dt") < cuts[0], (F.col("dt") >= cuts[0]) & (F.col("dt") < cuts[1]), F.col("dt") >= cuts[1]]
+    for batch in batches:
+        summaries.append_summary(summaries.summarise(log.where(batch), ORDER), path)
+    return summaries.transitions_of(summaries.read_summary(spark, path))
+
+
+_LATER = "TIMESTAMP '2024-01-21 00:00:00'"
+
+
+@_query(
+    "model_later_days",
+    f"""WITH {_sql_events(_SQL_PATCHY)}, {_sql_debounce(target="quiet")},
+    log AS (SELECT * FROM quiet WHERE dt < {_LATER} AND (sensor <> 'signup' OR sensor IS NULL)), {_sql_markov()},
+    later AS (
+      SELECT *, lead(sensor) OVER (ORDER BY dt NULLS LAST, sensor NULLS LAST, event_id) AS following
+      FROM quiet WHERE dt >= {_LATER})
+    SELECT event_id, dt, later.sensor, following AS next_sensor,
+           round(CASE WHEN following IS NOT NULL AND later.sensor IN (SELECT sensor FROM transitions) THEN coalesce(p, 0) END, 9) AS markov_prob,
+           {_SQL_IN_RANGE}
+    FROM later LEFT JOIN transitions t ON t.sensor = later.sensor AND t.next_sensor = following""",
+)
+def _model_later_days(spark, sf_dir):
+    """A model of twenty days that lack a sensor, saved, read and applied to the others."""
+    path = new_stage_path(spark, "model")
+    log = stage(cleaning.debounce(_events(spark, sf_dir, _patchy_sensor()), ["event_id"]), "log")
+    early = F.col("dt") < F.lit("2024-01-21").cast("timestamp_ntz")
+    seen = log.where(early & ~F.col("sensor").eqNullSafe(F.lit("signup")))
+    model.save_model(model.fit_model(seen, ORDER, Settings(trees=20)), path)
+    scored = model.apply_model(model.load_model(spark, path), log.where(~early), ORDER)
+    return _score_checked(_rounded(scored, "markov_prob"))
+
+
 @_query(
     "markov_prob",
     f"""WITH {_sql_events(_SQL_PATCHY)}, {_sql_debounce()}, {_sql_markov()}
@@ -723,15 +770,6 @@ def _forest_scored(spark, sf_dir):
     return forest.with_forest_score(points, forest.fit_forest(points, ORDER, seed=42))
 
 
-_SQL_IN_RANGE = "TRUE AS has_score, TRUE AS in_range"
-
-
-def _score_checked(scored, name="iforest_score"):
-    """The score depends on the seed; that there is one, and its range, do not."""
-    in_range = F.col(name).between(-0.5, 0.5)
-    return scored.withColumns({"has_score": F.col(name).isNotNull(), "in_range": in_range}).drop(name)
-
-
 @_query("iforest_scores", f"WITH {_sql_events()} SELECT event_id, dt, sensor, {_SQL_IN_RANGE} FROM raw")
 def _iforest_scores(spark, sf_dir):
     return _score_checked(_forest_scored(spark, sf_dir).select("event_id", "dt", "sensor", "iforest_score"))
