@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlog.functions.clock import as_time
-from hearthlog.operators import attach, boxes, cleaning, days, forest, labels, markov, reports, summaries
+from hearthlog.operators import attach, boxes, cleaning, days, forest, intervals, labels, markov, reports, summaries
 from hearthlog.plans import jobs, model
 from hearthlog.settings import Settings
 from hearthlog.sources import metadata, readings, tables
@@ -639,6 +639,28 @@ def _day_overlay_counts(spark, sf_dir):
     return days.overlay_counts(bounds, reports.point_anomalies(log, "value", 0.05))
 
 
+@_query(
+    "interval_overlay",
+    f"""WITH {_sql_events(extra=", user_id, value")},
+    spans AS (
+      SELECT event_id AS span_id, dt - to_minutes(user_id % 97) AS span_start, dt + to_hours(user_id % 61) AS span_end
+      FROM raw WHERE sensor = 'purchase')
+    SELECT span_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM raw JOIN spans
+      ON dt BETWEEN span_start AND span_end WHERE value < 2.0 GROUP BY span_id""",
+)
+def _interval_overlay(spark, sf_dir):
+    """Readings in spans of a minute to days around others, which no bin holds whole."""
+    log = _events(spark, sf_dir, None, "user_id", "value")
+    back = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("user_id") % 97).cast("int"))
+    forth = F.make_dt_interval(F.lit(0), (F.col("user_id") % 61).cast("int"))
+    spans = log.where("sensor = 'purchase'").select(
+        F.col("event_id").alias("span_id"), (F.col("dt") - back).alias("span_start"), (F.col("dt") + forth).alias("span_end")
+    )
+    low = reports.point_anomalies(log, "value", 2.0, place=["event_id"])
+    found = intervals.readings_in_intervals(low, spans, start="span_start", end="span_end")
+    return found.groupBy("span_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @_query(
     "daily_tiles",
     f"""WITH {_sql_events()}, {_sql_debounce()}, {_sql_markov()}, {_sql_last_days(20)}

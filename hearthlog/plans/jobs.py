@@ -93,12 +93,17 @@ def score(log: DataFrame, order: list[str] = LOG_ORDER, settings: Settings = Set
     )
 
 
+def _thresholds(settings: Settings) -> dict[str, float]:
+    return {MARKOV: settings.markov_threshold, FOREST: settings.forest_threshold}
+
+
 def get_scores(spark: SparkSession, cleaned: str, out: str, settings: Settings = Settings()) -> None:
     """Score the activity readings of ``cleaned`` into a new dataset, by day."""
     if cleaned.rstrip("/") == out.rstrip("/"):
         raise ValueError("the scored dataset needs a path of its own")
     with stage_scope(spark):
-        write_days(score(read_role(spark, cleaned, "activity"), settings=settings), out)
+        scored = score(read_role(spark, cleaned, "activity"), settings=settings)
+        write_days(scored, out, thresholds=_thresholds(settings))
 
 
 @dataclass(frozen=True)
@@ -174,6 +179,5 @@ def run_all(
     get_scores(spark, f"{out}/cleaned", f"{out}/scored", settings)
     scored = read_days(spark, f"{out}/scored")
     kept = read_last_days(spark, f"{out}/scored", settings.days_kept, bin_seconds=settings.bin_seconds)
-    thresholds = {MARKOV: settings.markov_threshold, FOREST: settings.forest_threshold}
     with stage_scope(spark):
-        return probability_signals(scored, thresholds, out, settings, kept)
+        return probability_signals(scored, _thresholds(settings), out, settings, kept)

@@ -6,6 +6,8 @@ files, and which days there are is known from the names of the folders.
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 
 from hearthlog.functions.clock import day_of
 from hearthlog.operators.days import last_days
-from hearthlog.operators.reports import in_time_order
+from hearthlog.operators.reports import in_time_order, is_unusual
 from hearthlog.settings import DAY_SECONDS, DAYS_KEPT
 from hearthlog.sources import folders
 from hearthlog.staging import stage
@@ -22,6 +24,7 @@ from hearthlog.staging import stage
 REPORT_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 DAY = "day"
+ROW_GROUP_BYTES = 16 * 1024 * 1024
 _HEADER_PART = "part--header.csv"  # by name before all numbered parts
 
 
@@ -46,11 +49,25 @@ def read_role(spark: SparkSession, path: str, role: str) -> DataFrame:
     return read_table(spark, path).where(F.col("role") == role).drop("role", DAY)
 
 
-def write_days(log: DataFrame, path: str, ts: str = "dt") -> None:
+def write_days(
+    log: DataFrame,
+    path: str,
+    ts: str = "dt",
+    thresholds: dict[str, float] | None = None,
+    row_group_bytes: int = ROW_GROUP_BYTES,
+) -> None:
     """Write a dataset partitioned by day, which replaces what is at ``path``. Rows that
-    are not roughly in time order should be laid out first: a task writes a file a day."""
+    are not roughly in time order should be laid out first: a task writes a file a day.
+
+    With ``thresholds``, rows with a signal below its own come first in each file, and so
+    share row groups: a report of a signal skips the groups of which all values are larger.
+    """
     dated = log.withColumn(DAY, day_of(F.col(ts)))
-    folders.replace(log.sparkSession, path, lambda new: dated.write.partitionBy(DAY).parquet(new))
+    if thresholds:
+        unusual = reduce(or_, [is_unusual(signal, threshold) for signal, threshold in thresholds.items()])
+        dated = dated.sortWithinPartitions(F.col(DAY), unusual.desc(), F.col(ts))
+    writer = dated.write.option("parquet.block.size", row_group_bytes)
+    folders.replace(log.sparkSession, path, lambda new: writer.partitionBy(DAY).parquet(new))
 
 
 def read_days(spark: SparkSession, path: str) -> DataFrame:

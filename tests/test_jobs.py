@@ -157,7 +157,7 @@ def test_the_log_is_parsed_once_and_scored_in_three_reads(spark, inputs, tmp_pat
     plans = []
     for name in ("write_by_role", "write_days"):
         write = getattr(jobs, name)
-        monkeypatch.setattr(jobs, name, lambda df, path, w=write: (plans.append(df._jdf.queryExecution().toString()), w(df, path)))
+        monkeypatch.setattr(jobs, name, lambda df, path, w=write, **how: (plans.append(df._jdf.queryExecution().toString()), w(df, path, **how)))
     jobs.run_all(spark, *inputs, str(tmp_path), Settings(trees=5))
     assert not any("FileScan csv" in p for p in plans)
 

@@ -129,3 +129,29 @@ def test_numbers_are_written_as_in_reports(spark):
     values = [0.1, 1.0, 0.0, -0.5, 1e-3, 0.00085, -1.23e-4, 1e-4, 9.99e-5, 1.5e-5, 2e-10, 1e-300, 1e7, 12345678.9, 1e15, 1e16, 1.5e22, 0.19 / 3, 1 / 7e3]
     table = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in table.select(tables.number_text(F.col("v"))).collect()] == [repr(v) for v in values]
+
+
+def rows_scanned(df):
+    """Rows that the scan of a collected frame handed on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_a_report_skips_row_groups_without_low_scores(spark, tmp_path):
+    scored = spark.range(0, 200_000, 1, 4).selectExpr(
+        "id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id div 100000 as int), 0, 0, id % 86400) as dt",
+        "concat('s', id % 50) as sensor", "rand(1) as p", "rand(2) - 0.5 as q",
+    )
+    low = {"p": 0.01, "q": -0.49}
+    plain, laid = str(tmp_path / "plain"), str(tmp_path / "laid")
+    tables.write_days(scored, plain, row_group_bytes=65536)
+    tables.write_days(scored, laid, thresholds=low, row_group_bytes=65536)
+    for signal, threshold in low.items():
+        found = reports.point_anomalies(tables.read_days(spark, laid), signal, threshold)
+        assert rows_scanned(found) < 0.25 * rows_scanned(reports.point_anomalies(tables.read_days(spark, plain), signal, threshold))
+        assert found.count() == scored.where(F.col(signal) < threshold).count()
