@@ -515,6 +515,29 @@ def _score_attach_dt(spark, sf_dir):
     return _rounded(found, "markov_prob_min", "markov_prob_max")
 
 
+_SQL_PAIRS = f"""WITH {_SQL_ORDERS}, {_sql_markov("raw")},
+    pairs AS (
+      SELECT raw.dt, raw.event_id % 40 AS value, round(markov_prob, 9) AS signal FROM raw JOIN scored USING (dt)
+      WHERE raw.event_id % 40 < 15 AND round(markov_prob, 9) < 0.2)"""
+
+
+def _pairs(spark, sf_dir):
+    log = stage(_orders(spark, sf_dir).withColumn("value", F.col("event_id") % 40), "log")
+    scores = _rounded(markov.with_markov_prob(log, ORDER), "markov_prob")
+    return attach.factor_by_time(log, scores, "value", "markov_prob", piece_values=8)
+
+
+@_query("pair_counts_by_time", _SQL_PAIRS + "SELECT dt, count(*) AS n_pairs FROM pairs GROUP BY dt")
+def _pair_counts_by_time(spark, sf_dir):
+    """How many pairs of a reading and a score at one time are low on both sides."""
+    return attach.count_pairs(_pairs(spark, sf_dir), lambda v: v < 15, lambda p: p < 0.2)
+
+
+@_query("pairs_by_time", _SQL_PAIRS + "SELECT dt, value, signal, count(*) AS n_pairs FROM pairs GROUP BY dt, value, signal")
+def _pairs_by_time(spark, sf_dir):
+    return attach.expand_pairs(_pairs(spark, sf_dir), lambda v: v < 15, lambda p: p < 0.2)
+
+
 @_query("markov_prob_salted", SQL["markov_prob"])
 def _markov_prob_salted(spark, sf_dir):
     """As ``markov_prob``, with a transition table that is too large to broadcast."""
