@@ -2,7 +2,7 @@
 
 Host labels are words written together. A unigram model of the pages' own words splits
 them by Viterbi search, and multinomial naive Bayes, trained on the pages that the
-rules decide, judges the words of host and path.
+rules decide, judges the words of host and path by their odds and the classes' sizes.
 """
 
 import math
@@ -11,16 +11,18 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthlog.llm.common import over_batches
 from hearthlog.operators.lookup import lookup
 from hearthlog.staging import stage, stage_measured
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LONGEST_WORD = 24  # of a segment; longer stretches are cut into unknown segments
+SHORT = 24  # letters of the parts that are looked up; longer words are found by their first
 SMOOTHING = 1.0
 WORD = r"[a-zß-öø-ÿ]+"
 
@@ -77,16 +79,21 @@ def word_counts(texts: DataFrame, html: str) -> DataFrame:
 
 
 def segment(run: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most likely words of ``run``. An unknown word's chance falls tenfold a letter."""
+    """The most likely words of ``run``: words of ``counts``, and unknown stretches, whose
+    chance falls tenfold a letter. Neither has a longest length."""
+    lengths = sorted({len(word) for word in counts})
+    unknown, letter = math.log(10 / total), math.log(10)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    opened = (0.0, 0)  # of all places so far, the best for an unknown stretch to start at
     for end in range(1, len(run) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            word = run[start:end]
-            n = counts.get(word, 0)
-            chance = math.log(n / total) if n else math.log(10 / total) - len(word) * math.log(10)
-            options.append((best[start][0] + chance, start))
-        best.append(max(options))
+        found = (opened[0] + unknown - end * letter, opened[1])
+        for size in lengths:
+            if size > end:
+                break
+            if n := counts.get(run[end - size : end], 0):
+                found = max(found, (best[end - size][0] + math.log(n / total), end - size))
+        best.append(found)
+        opened = max(opened, (found[0] + end * letter, end))
     words, end = [], len(run)
     while end:
         start = best[end][1]
@@ -95,31 +102,38 @@ def segment(run: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
+def parts(run: str) -> set[str]:
+    """The stretches of a run of up to ``SHORT`` letters."""
+    return {run[start : start + size] for size in range(1, SHORT + 1) for start in range(len(run) - size + 1)}
+
+
 def _segments(runs: DataFrame, counts: DataFrame, counts_bytes: int, total: int) -> DataFrame:
-    """``run, words`` for distinct runs of letters; each asks for the counts of its own parts only."""
-    ends = F.sequence(F.lit(1), F.length("run"))
-    parts = F.flatten(
-        F.transform(
-            ends,
-            lambda start: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("run") - start + 1)),
-                lambda size: F.substring("run", start, size),
-            ),
-        )
-    )
-    asked = runs.select("run", F.explode(F.array_distinct(parts)).alias("word"))
-    known = lookup(asked, counts, ["word"], "left", facts_bytes=counts_bytes)
+    """``run, words`` for distinct runs of letters; each asks for the counts of its own
+    parts only. Words longer than any part are asked for by how they start."""
+    placed = stage(runs.withColumn("place", F.monotonically_increasing_id()), "host_runs")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for place, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = sorted(parts(run))
+                for at in range(0, len(words), 10_000):
+                    own = words[at : at + 10_000]
+                    yield {"place": [place] * len(own), "word": own}
+
+    asked = over_batches(placed.select("place", "run"), ask, "place long, word string")
+    known = lookup(asked, counts, ["word"], "inner", facts_bytes=counts_bytes)
+    long = counts.where(F.length("word") > SHORT).select(F.substring("word", 1, SHORT).alias("word"), F.col("word").alias("_whole"), "n")
+    begun = lookup(asked.where(F.length("word") == SHORT), long, ["word"], "inner").select("place", F.col("_whole").alias("word"), "n")
     # A run has as many parts as its length allows, whatever the number of pages.
-    gathered = known.groupBy("run").agg(
-        F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known")
-    )
+    gathered = stage_measured(known.unionByName(begun).groupBy("place").agg(F.collect_list(F.struct("word", "n")).alias("known")), "known_parts")
+    found = lookup(placed, gathered.table, ["place"], "left", facts_bytes=gathered.bytes)
 
     @F.pandas_udf("array<string>")
     def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for run, own in batches:
-            yield pd.Series([segment(r, {k["word"]: k["n"] for k in ks}, total) for r, ks in zip(run, own)])
+            yield pd.Series([segment(r, {} if ks is None else {k["word"]: k["n"] for k in ks}, total) for r, ks in zip(run, own)])
 
-    return gathered.select("run", split("run", "known").alias("words"))
+    return found.select("run", split("run", "known").alias("words"))
 
 
 def _runs_of(host: Column) -> Column:
@@ -169,7 +183,7 @@ def filter_urls(
         lookup(places, host_words.table, ["host"], "left", facts_bytes=host_words.bytes).withColumn("tokens", tokens),
         "worded",
     )
-    odds = _log_odds(worded)
+    odds, prior = _log_odds(worded)
     scored = stage_measured(
         lookup(
             worded.where("rule is null").select("host", "path", F.explode("tokens").alias("token")),
@@ -180,15 +194,18 @@ def filter_urls(
         "scored",
     )
     found = lookup(judged, scored.table, ["host", "path"], "left", facts_bytes=scored.bytes)
-    learned = F.when(F.coalesce("block_odds", F.lit(0.0)) > 0, F.lit("block")).otherwise(F.lit("allow"))
+    # A page without any known word is judged by the sizes of the classes alone.
+    found = found.withColumn("block_odds", F.when(F.col("rule").isNull(), F.lit(prior) + F.coalesce("block_odds", F.lit(0.0))))
+    learned = F.when(F.col("block_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return found.select(
         "page_id", "host", "path", "rule", F.coalesce("_ruled", learned).alias("verdict"),
         F.round("block_odds", 9).alias("block_odds"),
     )
 
 
-def _log_odds(worded: DataFrame) -> DataFrame:
-    """``token, odds``: log of the token's chance among blocked words to that among allowed ones."""
+def _log_odds(worded: DataFrame) -> tuple[DataFrame, float]:
+    """``token, odds``: log of the token's chance among blocked words to that among allowed
+    ones; and the log of the blocked pages to the allowed ones."""
     ruled = worded.where("_ruled is not null").select("_ruled", "n", F.explode("tokens").alias("token"))
     counted = stage(
         ruled.groupBy("token").agg(
@@ -199,6 +216,8 @@ def _log_odds(worded: DataFrame) -> DataFrame:
     )
     blocked, allowed, size = counted.agg(F.sum("blocked"), F.sum("allowed"), F.count("*")).first()
     if not blocked or not allowed:
-        return counted.where("false").select("token", F.lit(0.0).alias("odds"))
+        return counted.where("false").select("token", F.lit(0.0).alias("odds")), 0.0
+    pages = {r[0]: r[1] for r in worded.where("_ruled is not null").groupBy("_ruled").agg(F.sum("n")).collect()}
     chance = lambda n, all_: (F.col(n) + SMOOTHING) / F.lit(all_ + SMOOTHING * size)
-    return counted.select("token", F.log(chance("blocked", blocked) / chance("allowed", allowed)).alias("odds"))
+    odds = counted.select("token", F.log(chance("blocked", blocked) / chance("allowed", allowed)).alias("odds"))
+    return odds, math.log(pages["block"] / pages["allow"])

@@ -1,4 +1,10 @@
+import itertools
+import math
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from hearthlog.llm import urls
 
@@ -53,3 +59,52 @@ def test_classifier_learns_from_the_rules(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     verdicts = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages).collect()}
     assert verdicts[100] == "block" and verdicts[101] == "allow"
+
+
+def likelihood(words, counts, total):
+    return sum(math.log(counts[w] / total) if w in counts else math.log(10 / total) - len(w) * math.log(10) for w in words)
+
+
+def test_segments_are_the_likeliest_of_all():
+    rng = random.Random(5)
+    for _ in range(60):
+        counts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))): rng.randint(1, 40) for _ in range(8)}
+        run, total = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9))), 500
+        found = urls.segment(run, counts, total)
+        splits = []
+        for cuts in itertools.product([0, 1], repeat=len(run) - 1):
+            ends = [i + 1 for i, c in enumerate(cuts) if c] + [len(run)]
+            splits.append([run[a:b] for a, b in zip([0, *ends], ends)])
+        assert "".join(found) == run
+        assert math.isclose(likelihood(found, counts, total), max(likelihood(s, counts, total) for s in splits))
+
+
+def test_long_words_and_long_hosts(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    words = spark.createDataFrame([(long, 50), (long[:26], 1), ("green", 50), ("house", 40), (long[:24] + "zzz", 9)], "word string, n long")
+    runs = spark.createDataFrame([("green" + long + "house",), (long[:25],), ("q" * 30,), ("",), ("greenhouse" * 10_000,)], "run string")
+    start = time.time()
+    found = {r["run"]: r["words"] for r in urls._segments(runs, words, 1000, 1000).collect()}
+    assert time.time() - start < 60
+    assert found["green" + long + "house"] == ["green", long, "house"]
+    assert found["q" * 30] == ["q" * 30] and found[""] == [] and found[long[:25]] == [long[:25]]
+    assert found["greenhouse" * 10_000] == ["green", "house"] * 10_000
+
+
+def test_held_out_accuracy_with_unequal_classes(spark):
+    """Nine of ten pages are fine; half of what the rules say is held back."""
+    rng = random.Random(3)
+    good, bad, both = ["books", "garden", "paint"], ["casino", "poker", "pills"], ["shop", "online", "best", "city"]
+    rows, truth = [], {}
+    for i in range(1200):
+        blocked = i % 10 == 0
+        words = [rng.choice(both)] + [rng.choice(bad if blocked and rng.random() < 0.9 else good) for _ in range(rng.choice([0, 1, 1, 2]))]
+        rng.shuffle(words)
+        known = i // 10 % 2
+        truth[i] = "block" if blocked else "allow"
+        domain = ("net" if blocked else "com") if known else "org"
+        rows.append((i, f"http://{''.join(words)}.{domain}/{'es' if known and blocked else 'x'}/{i}", " ".join(good + bad + both)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = urls.filter_urls(pages).where(F.col("rule").isNull()).collect()
+    right = sum(r["verdict"] == truth[r["page_id"]] for r in found)
+    assert len(found) > 500 and right / len(found) > 0.93
