@@ -103,7 +103,8 @@ def test_held_out_accuracy_with_unequal_classes(spark):
         known = i // 10 % 2
         truth[i] = "block" if blocked else "allow"
         domain = ("net" if blocked else "com") if known else "org"
-        rows.append((i, f"http://{''.join(words)}.{domain}/{'es' if known and blocked else 'x'}/{i}", " ".join(good + bad + both)))
+        path = "" if not known else "es/" if blocked else "x/"  # unruled pages have words of the host only
+        rows.append((i, f"http://{''.join(words)}.{domain}/{path}", " ".join(good + bad + both)))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = urls.filter_urls(pages).where(F.col("rule").isNull()).collect()
     right = sum(r["verdict"] == truth[r["page_id"]] for r in found)
