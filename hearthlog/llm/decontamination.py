@@ -5,7 +5,8 @@ postings (term, positions) are stored, for the terms that the benchmark uses. Th
 postings' lengths say how frequent each term is in the whole corpus. A test window is
 looked up from its rarest term on: the lists of its terms, moved back by their offset
 in the window, are intersected until nothing is left. What remains are the exact
-places of the window.
+places of the window. Proximity matches intersect the lists of an item's rarest terms
+with some slack instead.
 """
 
 import sys
@@ -26,10 +27,11 @@ from hearthlog.staging import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
-SLOP = 26  # a proximity match is this many words wide at most
-NEAR_TERMS = 4  # of an item's rarest terms, all must be near each other
+SLOP = 26  # words from the rarest term of a proximity match to any other of its terms
+NEAR_TERMS = 4  # of an item's rarest terms, all must be near the rarest one
 SHARD_WORDS = 1_000_000
 BLOCK_WORDS = 2_000_000  # of the benchmark; more are matched in several blocks
+BUCKETS = 16  # a block is put together from such parts
 
 INDEX = (
     "shard long, term int, n int, positions binary, doc_id array<{key}>, text_hash array<long>,"
@@ -50,6 +52,34 @@ class TestSet(NamedTuple):
     item_terms: list[tuple[int, ...]]
 
 
+class Search(NamedTuple):
+    """What a shard is searched for, by the term that it must have: the rarest one."""
+
+    windows: dict[int, list[tuple[tuple[int, ...], tuple[int, ...], list[int]]]]  # terms, order, items
+    near: dict[int, list[tuple[tuple[int, ...], int]]]  # rarest terms, item
+    items: list[str]
+
+
+def make_search(tests: TestSet, rarity: np.ndarray) -> Search:
+    """Windows and proximity terms from their rarest term on; equally rare ones go by place.
+
+    A term that no document has ends a window. Proximity leaves such terms out: it asks for
+    the ``NEAR_TERMS`` rarest of those that occur, all terms of an item with fewer, and
+    for nothing if too few of them occur.
+    """
+    windows, near = defaultdict(list), defaultdict(list)
+    counts = rarity.tolist()
+    for terms, owners in tests.windows.items():
+        order = tuple(sorted(range(len(terms)), key=lambda at: counts[terms[at]]))
+        if counts[terms[order[0]]]:
+            windows[terms[order[0]]].append((terms, order, owners))
+    for item, terms in enumerate(tests.item_terms):
+        rarest = tuple(sorted((t for t in terms if counts[t]), key=lambda t: counts[t])[:NEAR_TERMS])
+        if len(rarest) == min(NEAR_TERMS, len(terms)):
+            near[rarest[0]].append((rarest, item))
+    return Search(dict(windows), dict(near), tests.items)
+
+
 def make_test_set(rows: list[tuple[str, bytes]], window: int = WINDOW) -> TestSet:
     terms: dict[bytes, int] = {}
     windows, items, item_terms = defaultdict(list), [], []
@@ -64,10 +94,15 @@ def make_test_set(rows: list[tuple[str, bytes]], window: int = WINDOW) -> TestSe
     return TestSet(terms, dict(windows), items, item_terms)
 
 
+def _gap(window: int) -> int:
+    return max(window, SLOP)
+
+
 def postings(docs: DataFrame, tests, window: int, key: str, text: str) -> DataFrame:
     """The index: a row per shard and test term, and one (term -1) with the shard's documents.
 
-    Positions count words within a shard; documents lie apart by more than a window.
+    Positions count words within a shard; documents lie so far apart that neither a
+    window nor a proximity match reaches from one to the next.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = ("shard", "term", "n", "positions", "doc_id", "text_hash", "n_words")
@@ -88,7 +123,7 @@ def postings(docs: DataFrame, tests, window: int, key: str, text: str) -> DataFr
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         term_of, shard = tests.value.terms.get, TaskContext.get().partitionId() << 24
-        apart = np.full(window, -1, np.int32)
+        apart = np.full(_gap(window), -1, np.int32)
         keys, found, size = [], [], 0
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -97,7 +132,7 @@ def postings(docs: DataFrame, tests, window: int, key: str, text: str) -> DataFr
                 keys.append((doc_id, mark, len(words)))
                 found.append(np.fromiter((term_of(w, -1) for w in words), np.int32, len(words)))
                 found.append(apart)
-                size += len(words) + window
+                size += len(words) + len(apart)
                 if size > SHARD_WORDS:
                     yield close(shard, keys, found)
                     shard, keys, found, size = shard + 1, [], [], 0
@@ -110,18 +145,16 @@ def postings(docs: DataFrame, tests, window: int, key: str, text: str) -> DataFr
     return over_batches(chosen, rows, INDEX.format(key=kind))
 
 
-def places_of(window: tuple[int, ...], lists: dict[int, np.ndarray], rarity: np.ndarray) -> np.ndarray:
-    """Where all terms of ``window`` stand in a row, from its rarest term on."""
-    order = sorted(range(len(window)), key=lambda at: rarity[window[at]])
-    at = order[0]
-    starts = lists.get(window[at])
-    if starts is None:
-        return np.empty(0, np.int64)
-    starts = starts - at
-    for at in order[1:]:
+def places_of(window: tuple[int, ...], order: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.ndarray:
+    """Where all terms of ``window`` stand in a row; ``order`` has the rarest first."""
+    starts = None
+    for at in order:
         there = lists.get(window[at])
         if there is None:
             return np.empty(0, np.int64)
+        if starts is None:
+            starts = there - at
+            continue
         wanted = starts + at
         slot = np.minimum(np.searchsorted(there, wanted), len(there) - 1)
         starts = starts[there[slot] == wanted]
@@ -130,7 +163,7 @@ def places_of(window: tuple[int, ...], lists: dict[int, np.ndarray], rarity: np.
     return starts
 
 
-def near_places(terms: list[int], lists: dict[int, np.ndarray], slop: int) -> np.ndarray:
+def near_places(terms: tuple[int, ...], lists: dict[int, np.ndarray], slop: int) -> np.ndarray:
     """Places of the first term with all others at most ``slop`` words away."""
     around = lists.get(terms[0])
     if around is None:
@@ -146,29 +179,29 @@ def near_places(terms: list[int], lists: dict[int, np.ndarray], slop: int) -> np
     return around
 
 
-def match_shard(shard: pd.DataFrame, tests: TestSet, rarity: np.ndarray, window: int) -> pd.DataFrame:
+def match_shard(shard: pd.DataFrame, search: Search, window: int) -> pd.DataFrame:
     """A row per document of the shard: its hit spans and the items found in it."""
     head = shard[shard["term"] < 0].iloc[0]
     n_words = np.asarray(head["n_words"], dtype=np.int64)
-    base = np.cumsum(n_words + window) - (n_words + window)
+    base = np.cumsum(n_words + _gap(window)) - (n_words + _gap(window))
     lists = {
         int(term): np.cumsum(np.frombuffer(blob, "<i4")).astype(np.int64)
         for term, blob in zip(shard["term"], shard["positions"])
         if term >= 0
     }
     starts, lengths, items, near = [], [], defaultdict(set), defaultdict(set)
-    for terms, owners in tests.windows.items():
-        found = places_of(terms, lists, rarity)
-        if len(found):
-            starts.append(found)
-            lengths.append(np.full(len(found), len(terms)))
+    for term in lists:
+        for terms, order, owners in search.windows.get(term, ()):
+            found = places_of(terms, order, lists)
+            if len(found):
+                starts.append(found)
+                lengths.append(np.full(len(found), len(terms)))
+                for doc in np.unique(np.searchsorted(base, found, side="right") - 1):
+                    items[int(doc)].update(owners)
+        for rarest, item in search.near.get(term, ()):
+            found = near_places(rarest, lists, SLOP)
             for doc in np.unique(np.searchsorted(base, found, side="right") - 1):
-                items[int(doc)].update(owners)
-    for item, terms in enumerate(tests.item_terms):
-        rarest = sorted(terms, key=lambda t: rarity[t])[:NEAR_TERMS]
-        found = near_places(rarest, lists, SLOP)
-        for doc in np.unique(np.searchsorted(base, found, side="right") - 1):
-            near[int(doc)].add(item)
+                near[int(doc)].add(item)
     spans = defaultdict(list)
     if starts:
         start, length = np.concatenate(starts), np.concatenate(lengths)
@@ -180,7 +213,7 @@ def match_shard(shard: pd.DataFrame, tests: TestSet, rarity: np.ndarray, window:
                 own[-1]["last"] = max(last, own[-1]["last"])
             else:
                 own.append({"first": first, "last": last})
-    named = lambda found, d: sorted({tests.items[i] for i in found.get(d, ()) if tests.items[i] is not None})
+    named = lambda found, d: sorted({search.items[i] for i in found.get(d, ()) if search.items[i] is not None})
     count = range(len(n_words))
     return pd.DataFrame(
         {
@@ -204,6 +237,31 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step)["n"].cast("long")
 
 
+def _bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("item", "text"), F.lit(n))
+
+
+def blocks_of(tests: DataFrame) -> list[tuple[int, int, int]]:
+    """First and last bucket of every block, and the number of buckets.
+
+    A block has ``BLOCK_WORDS`` words at most, as a text has no more words than half its
+    bytes, unless a single bucket has more, which takes an item of about that size.
+    """
+    limit = 2 * BLOCK_WORDS
+    total = tests.agg(F.sum("size")).first()[0] or 0
+    n = max(1, BUCKETS * -(-total // limit))
+    # One row per bucket.
+    sizes = dict(tests.groupBy(_bucket(n)).agg(F.sum("size")).collect())
+    blocks, first, held = [], 0, 0
+    for bucket in range(n):
+        own = sizes.get(bucket, 0)
+        if held and held + own > limit:
+            blocks.append((first, bucket - 1, n))
+            first, held = bucket, 0
+        held += own
+    return [*blocks, (first, n - 1, n)]
+
+
 def benchmark_matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -217,22 +275,28 @@ def benchmark_matches(
 
     ``spans`` are the runs of words inside exact places of a window (``window``
     consecutive words of an item, or all words of a shorter one), ``items`` the items
-    with such places, and ``near_items`` those whose rarest terms stand close to each
-    other. A null or empty text has no words; a null item id is not listed, its text is
-    searched for. Rows alike stay rows of their own, except that their order is not
-    kept; other columns are not read. An empty benchmark matches nothing.
+    with such places, and ``near_items`` those with a proximity match: an occurrence of
+    the rarest of the item's terms that has each of the next rarest, ``NEAR_TERMS`` in
+    all, at most ``SLOP`` words before or after it. Only terms that the documents have
+    count for that, and an item of which too few occur has no such match. A null or
+    empty text has no words; a null item id is not listed, its text is searched for.
+    Rows alike stay rows of their own, except that their order is not kept; other
+    columns are not read. An empty benchmark matches nothing.
     """
-    # A text has no more words than half its bytes.
-    tests = benchmark.select(
-        F.col(item).cast("string").alias("item"), F.encode(F.coalesce(item_text, F.lit("")), "utf-8").alias("text")
+    tests = (
+        benchmark.select(
+            F.col(item).cast("string").alias("item"), F.encode(F.coalesce(item_text, F.lit("")), "utf-8").alias("text")
+        )
+        .distinct()
+        .withColumn("size", F.octet_length("text").cast("long"))
     )
-    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * BLOCK_WORDS)))
+    tests = stage(tests, "benchmark")
+    parts = blocks_of(tests)
+    blocks = len(parts)
     results = []
-    for block in range(blocks):
-        # A block is bounded by BLOCK_WORDS on average; it is what travels to the tasks.
-        part = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        rows = [(r["item"], bytes(r["text"])) for r in part.orderBy("item", "text").collect()]
+    for first, last, n in parts:
+        part = tests.where(_bucket(n).between(first, last)).orderBy("item", "text")
+        rows = [(r["item"], bytes(r["text"])) for r in part.collect()]  # bounded by the block
         test_set = make_test_set(rows, window)
         results.append(_match_block(docs, test_set, window, key, text))
     if blocks == 1:
@@ -259,19 +323,22 @@ def _match_block(docs: DataFrame, test_set: TestSet, window: int, key: str, text
     for row in counts:  # one row per term of the block
         rarity[row["term"]] = row["n"]
 
+    search = spark.sparkContext.broadcast(make_search(test_set, rarity))
+
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        return match_shard(rows, shared.value, rarity, window)
+        return match_shard(rows, search.value, window)
 
     kind = docs.schema[key].dataType.simpleString()
     return index.groupBy("shard").applyInPandas(match, FOUND.format(key=kind))
 
 
 def contamination(matches: DataFrame) -> DataFrame:
-    """Add ``n_hit``, ``n_items`` and ``contaminated``: one word in twenty or more is hit."""
+    """Add ``n_hit``, ``n_items``, ``n_near`` and ``contaminated``: one word in twenty or more is hit."""
     hit = F.col("n_hit")
     return matches.withColumn("n_hit", covered(F.col("spans"))).withColumns(
         {
             "n_items": F.size("items").cast("long"),
+            "n_near": F.size("near_items").cast("long"),
             "contaminated": (hit > 0) & (hit * 20 >= F.col("n_words")),
         }
     )

@@ -82,11 +82,31 @@ _SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
     owners AS (
       SELECT doc_id, count(DISTINCT item_id) AS n_items,
              array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items
-      FROM found GROUP BY doc_id)
+      FROM found GROUP BY doc_id),
+    terms AS (
+      SELECT item, item_id, word, min(i) AS i, count(*) OVER (PARTITION BY item) AS size
+      FROM (SELECT row_number() OVER () AS item, item_id, words FROM items WHERE len(words) > 0),
+           unnest(words) WITH ORDINALITY AS t(word, i) GROUP BY item, item_id, word),
+    spots AS (
+      SELECT doc_id, word, i FROM texts, unnest(words) WITH ORDINALITY AS t(word, i)
+      WHERE word IN (SELECT word FROM terms)),
+    rarest AS (
+      SELECT item, item_id, word, size, row_number() OVER (PARTITION BY item ORDER BY n, i) AS place
+      FROM terms JOIN (SELECT word, count(*) AS n FROM spots GROUP BY word) USING (word) QUALIFY place <= 4),
+    together AS (
+      SELECT item, item_id, doc_id, rare.i, any_value(size) AS size, count(DISTINCT near.place) AS n
+      FROM rarest AS rare_term JOIN spots AS rare USING (word)
+      JOIN (SELECT item, place, doc_id, i FROM rarest JOIN spots USING (word)) AS near USING (item, doc_id)
+      WHERE rare_term.place = 1 AND abs(near.i - rare.i) <= 26 GROUP BY item, item_id, doc_id, rare.i),
+    neighbours AS (
+      SELECT doc_id, count(DISTINCT item_id) AS n_near,
+             array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS near
+      FROM together WHERE n = least(4, size) GROUP BY doc_id)
     SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
            sha256(coalesce(items, '')) AS items_sha256,
-           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
-    FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN owners USING (doc_id)""",
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated,
+           coalesce(n_near, 0) AS n_near, sha256(coalesce(near, '')) AS near_sha256
+    FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN owners USING (doc_id) LEFT JOIN neighbours USING (doc_id)""",
 )
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.benchmark_matches(
@@ -99,6 +119,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_items",
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         "contaminated",
+        "n_near",
+        F.sha2(F.concat_ws(",", "near_items"), 256).alias("near_sha256"),
     )
 
 
