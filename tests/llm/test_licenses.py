@@ -1,3 +1,8 @@
+import random
+from collections import Counter
+
+import pytest
+
 from hearthlog.llm import licenses
 from hearthlog.llm.common import letter_words
 
@@ -38,3 +43,73 @@ def test_places_and_labels(spark):
     for r in found:
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
     assert licenses.scan_licenses(docs.where("false")).count() == 0
+
+
+def naive_scores(words, notices, weight):
+    """Best share of each label, by trying every place of the text for every template."""
+    best = {}
+    for n in notices:
+        size = len(n.words)
+        if n.exact:
+            if any(tuple(words[i : i + size]) == n.words for i in range(len(words))):
+                best[n.label] = 1.0
+            continue
+        own = sorted({w for w in n.words if w in words}, key=lambda w: (-weight[w], w))[: licenses.INDEX_WORDS]
+        for start in range(-size, len(words) + 1):
+            near = range(start - licenses.SLACK, start + licenses.SLACK + 1)
+            spots = {(w, s) for w in own for at, t in enumerate(n.words) if t == w for s in near if 0 <= s + at < len(words) and words[s + at] == w}
+            proposed = any(s == start for _, s in spots)
+            if not proposed or len({w for w, _ in spots}) < min(licenses.AGREEING, len(own)):
+                continue
+            first, end = max(0, start - licenses.SLACK), max(0, start + size + licenses.SLACK)
+            there = words[first:end]
+            if not all(any(tuple(there[i : i + len(p)]) == p for i in range(len(there))) for p in n.mandatory):
+                continue
+            share = sum(weight[w] for w in n.words if w in there) / sum(weight[w] for w in n.words)
+            if share >= licenses.LEAST_SHARE:
+                best[n.label] = max(share, best.get(n.label, 0.0))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_scores_are_those_of_every_place(seed):
+    rng = random.Random(seed)
+    notices = licenses.notices_of(licenses.TEMPLATES, licenses.PHRASES)
+    vocabulary = sorted({w for n in notices for w in n.words})
+    weight_counts = {w: rng.randrange(1000) for w in vocabulary}
+    index = licenses.build_index(notices, weight_counts, 1000)
+    seen = Counter()
+    for _ in range(60):
+        words = rng.choices(vocabulary, k=rng.randrange(40))
+        for _ in range(rng.randrange(3)):
+            notice = list(rng.choice(notices).words)
+            for _ in range(rng.randrange(4)):  # words put in, left out and replaced
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randrange(2)] = rng.choices(vocabulary, k=rng.randrange(3))
+                notice = notice or [b"mit"]
+            at = rng.randint(0, len(words))
+            words[at:at] = notice
+        found = licenses.scan(words, index)[1]
+        assert found == pytest.approx(naive_scores(words, notices, index.weight))
+        seen.update(found)
+    assert len(seen) > 5
+
+
+def test_words_must_agree_on_a_place():
+    notices = licenses.notices_of(licenses.TEMPLATES, {})
+    index = licenses.build_index(notices, {}, 1000)
+    text = "gnu general public license " + "word " * 50 + "licensed under the version 3"
+    assert licenses.scan(letter_words(text.encode()), index)[1] == {}
+    late = "Licensed under GNU General Public License, version 9. Licensed under, as said, the GNU General Public License, version 3."
+    assert set(licenses.scan(letter_words(late.encode()), index)[1]) == {"gpl-3"}
+    assert licenses.agreed_starts([(0, b"a"), (2, b"a"), (5, b"b"), (9, b"a")], 2) == []
+    assert licenses.agreed_starts([(0, b"a"), (2, b"b"), (3, b"a"), (5, b"a")], 2) == [0, 2, 3]
+
+
+@pytest.mark.parametrize("template", [t for t in licenses.TEMPLATES if len(t.text.split()) > 30])
+def test_whole_notices_in_real_layout(template):
+    words = template.text.split()
+    lines = [" * " + " ".join(words[i : i + 9]).capitalize() + "," for i in range(0, len(words), 9)]
+    notices = licenses.notices_of(licenses.TEMPLATES, licenses.PHRASES)
+    found = licenses.scan(letter_words(("x = 1\n" * 500 + "\n".join(lines) + "\ny = 2" * 500).encode()), licenses.build_index(notices, {}, 10))[1]
+    assert found[template.label] == 1.0
