@@ -118,18 +118,24 @@ def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
     return 2 * len(ends) / (len(a) + len(b))
 
 
-def _chunk_of(key: Column, starts: list) -> Column:
-    """How many of the falling ``starts`` are not below ``key``; all for null."""
-    if not starts:
+def _place(doc_id: Column, text: Column) -> Column:
+    """A row's place: larger ones come first, and those without an id last.
+
+    Texts with one id go by their hashes, so that a hot id can be split.
+    """
+    return F.struct(doc_id.alias("id"), F.bitwise_not(F.xxhash64(text)).alias("turn"))
+
+
+def _chunk_of(place: Column, starts: Column | None, n: int) -> Column:
+    """How many of the ``n`` falling ``starts`` are not below ``place``."""
+    if starts is None:
         return F.lit(0)
-    bounds = F.lit(starts)
-    steps = [1 << b for b in reversed(range(len(starts).bit_length()))]
-    found = F.aggregate(
+    steps = [1 << b for b in reversed(range(n.bit_length()))]
+    return F.aggregate(
         F.lit(steps),
         F.lit(0),
-        lambda seen, step: F.when(F.get(bounds, seen + step - 1) >= key, seen + step).otherwise(seen),
+        lambda seen, step: F.when(F.get(starts, seen + step - 1) >= place, seen + step).otherwise(seen),
     )
-    return F.when(key.isNull(), F.lit(len(starts))).otherwise(found)
 
 
 FOUND = (
@@ -144,42 +150,49 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     A row per row of ``docs``. The next document of one is that with the next smaller
     id, after the last the first; the edited text has its second half replaced by the
     start of the next document. Documents with one id follow each other in order of
-    their texts, those without an id come last. A null text is an empty one. Other
-    columns are not read.
+    the hashes of their texts, those without an id come last. A null text is an empty one.
+    Other columns are not read.
 
-    The texts are shuffled once, into ranges of ids. The first document of each range
-    also goes to the range before, which needs it as its last document's next one.
+    The texts are shuffled once, into ranges of ids and hashes, so that rows with one id
+    or none are split. (Copies of one row stay together; the task fingerprints them once.)
+    The first document of each range also goes to the range before, which needs it as its
+    last document's next one.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(key).alias("id")).where("id is not null")
-    ranges = ids.repartitionByRange(partitions, F.desc("id")).groupBy(F.spark_partition_id().alias("part"))
+    rows_of = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    placed = rows_of.withColumn("_place", _place(F.col("doc_id"), F.col("_text")))
+    ranges = placed.select("_place").repartitionByRange(partitions, F.desc("_place"))
     # One row per range.
-    heads = sorted((r["first"] for r in ranges.agg(F.max("id").alias("first")).collect()), reverse=True)
-    top, starts = (heads[0] if heads else None), heads[1:]
-    chunk = _chunk_of(F.col("doc_id"), starts)
-    own = F.struct(chunk.alias("chunk"), F.lit(False).alias("ahead"))
-    before = F.struct(
-        F.when(F.col("doc_id").eqNullSafe(F.lit(top)), F.lit(len(starts))).otherwise(chunk - 1).alias("chunk"),
-        F.lit(True).alias("ahead"),
-    )
-    is_head = F.col("doc_id").eqNullSafe(F.lit(top))
-    if starts:
-        is_head = is_head | F.coalesce(F.array_contains(F.lit(starts), F.col("doc_id")), F.lit(False))
+    heads = ranges.groupBy(F.spark_partition_id()).agg(F.max("_place").alias("first")).select("first.*").collect()
+    heads.sort(key=lambda r: (r["id"] is not None, r["id"] if r["id"] is not None else 0, r["turn"]), reverse=True)
+    kind = docs.schema[key].dataType
+    bounds = [F.struct(F.lit(r["id"]).cast(kind).alias("id"), F.lit(r["turn"]).cast("long").alias("turn")) for r in heads]
+    last = max(len(bounds) - 1, 0)
+    place = F.col("_place")
+    chunk = _chunk_of(place, F.array(*bounds[1:]) if last else None, last)
+    top = place.eqNullSafe(bounds[0]) if bounds else F.lit(False)
+    starts_chunk = place.eqNullSafe(F.get(F.array(*bounds), F.col("_own"))) if bounds else F.lit(False)
+    own = F.struct(F.col("_own").alias("chunk"), F.lit(False).alias("ahead"))
+    before = F.struct(F.when(top, F.lit(last)).otherwise(F.col("_own") - 1).alias("chunk"), F.lit(True).alias("ahead"))
     laid_out = (
-        docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        .withColumn("_at", F.explode(F.when(is_head, F.array(own, before)).otherwise(F.array(own))))
-        .select("doc_id", "_text", F.col("_at.chunk").alias("_chunk"), F.col("_at.ahead").alias("_ahead"))
-        .repartitionById(max(partitions, len(starts) + 1), "_chunk")
-        .sortWithinPartitions("_ahead", F.desc_nulls_last("doc_id"), "_text")
+        placed.withColumn("_own", chunk)
+        .withColumn("_at", F.explode(F.when(starts_chunk, F.array(own, before)).otherwise(F.array(own))))
+        .select("doc_id", "_text", "_place", F.col("_at.chunk").alias("_chunk"), F.col("_at.ahead").alias("_ahead"))
+        .repartitionById(max(partitions, last + 1), "_chunk")
+        .sortWithinPartitions("_ahead", F.desc("_place"), "_text")
+        .select("doc_id", "_text", "_ahead")
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         out, size, last = [], 0, None
         for batch in batches:
-            columns = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            columns = (batch.column(i).to_pylist() for i in range(3))
             for doc_id, value, ahead in zip(*columns):
-                here = (doc_id, value, found := closed_syncmers(value), sketch(found, lambda v=value: v))
+                if last is not None and last[1] == value:
+                    here = (doc_id, *last[1:])  # a copy
+                else:
+                    here = (doc_id, value, found := closed_syncmers(value), sketch(found, lambda v=value: v))
                 if last is not None:
                     out.append(_compared(last, here))
                     size += len(last[1])

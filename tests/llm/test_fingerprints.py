@@ -2,28 +2,42 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hearthlog.llm import fingerprints as fp
 
 
+def mixed(x):
+    """The hash of a number in plain integers."""
+    for shift in (32, 29):
+        x = ((x ^ (x >> shift)) * 0xD6E8FEB86659FD93) % 2**64
+    return x ^ (x >> 32)
+
+
+def hash_of(chars):
+    return mixed(sum(ord(c) * pow(0x9E3779B97F4A7C15, j + 1, 2**64) for j, c in enumerate(chars)) % 2**64)
+
+
 def naive_anchors(text):
-    """Positions of closed syncmers, by the hashes of all s-mers."""
-    if len(text) < fp.K:
-        return []
+    """Closed syncmers by their definition: the k-mers whose smallest inner s-mer is the
+    first or the last one."""
     found = []
     for at in range(len(text) - fp.K + 1):
         kmer = text[at : at + fp.K]
-        if len(fp.closed_syncmers(kmer).places):  # depends on the k-mer alone
-            found.append(at)
+        inner = [hash_of(kmer[i : i + fp.S]) for i in range(fp.K - fp.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.append((at, hash_of(kmer) >> 32))
     return found
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abcé日", max_size=120))
-def test_anchors_depend_on_their_kmer_alone(text):
-    assert fp.closed_syncmers(text).places.tolist() == naive_anchors(text)
+def test_anchors_are_closed_syncmers(text):
+    found = fp.closed_syncmers(text)
+    assert list(zip(found.places.tolist(), found.hashes.tolist())) == naive_anchors(text)
 
 
 def test_anchors_are_about_as_dense_as_expected():
@@ -62,13 +76,19 @@ def test_edited_texts(spark, partitions):
     rng = random.Random(partitions)
     rows = [(i * 3 % 101, "".join(rng.choices("abcdé ", k=rng.choice([0, 1, 5, 40, 300])))) for i in range(101)]
     rows += [(5000, None), (-7, "the smallest"), (None, "without an id"), (6000, "long " * 30000), (6000, "twin")]
+    rows += [(50, "".join(rng.choices("abcdé ", k=40))) for _ in range(60)] + [(50, "same")] * 3
+    rows += [(None, "".join(rng.choices("abcdé ", k=40))) for _ in range(60)] + [(None, None)] * 3
     docs = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, _chunk int, _ahead boolean")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
         found = fp.fingerprint_documents(docs.repartition(3)).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    turn = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest()
+    order = sorted(
+        ((r[0], r[1] or "") for r in rows),
+        key=lambda r: (r[0] is None, -(r[0] or 0), (turn(r[1]) + 2**63) % 2**64, r[1]),
+    )
     want = []
     for (doc_id, text), (_, following) in zip(order, order[1:] + order[:1]):
         half = len(text) // 2
@@ -96,3 +116,26 @@ def test_long_texts_are_compared_whole():
     assert fp.likeness(sketch(a), sketch(b)) >= 1.8 * shared / (len(sketch(a)) + len(sketch(b))) > 0
     edited = long[:60_000] + new(20) + long[60_020:]
     assert sketch(edited) != sketch(long) and 0.99 < fp.likeness(sketch(edited), sketch(long)) < 1
+
+
+def test_hot_and_missing_ids_are_split(spark):
+    docs = spark.range(12000).selectExpr(
+        "case id % 3 when 0 then null when 1 then 7 else id end as doc_id", "'text ' || id as text"
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = fp.fingerprint_documents(docs)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sum(sizes) == 12000 and max(sizes) < 1.5 * sorted(sizes)[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_ids_of_any_kind(spark, kind):
+    docs = spark.range(40).selectExpr(f"cast(nullif(id % 20, 3) as {kind}) as doc_id", "'text ' || id as text")
+    assert fp.fingerprint_documents(docs).count() == 40
+    none = docs.withColumn("doc_id", F.lit(None).cast(kind))
+    assert fp.fingerprint_documents(none).count() == 40
