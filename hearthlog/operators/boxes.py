@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from hearthlog.functions.clock import MICROS_PER_SECOND, micros_of_bin
 from hearthlog.operators.forest import Forest, _full_trees, average_path, mean_path, with_forest_score
 from hearthlog.operators.labels import FEATURES
-from hearthlog.operators.lookup import BROADCAST_LIMIT_BYTES, lookup
+from hearthlog.operators import lookup as lookups
+from hearthlog.operators.lookup import lookup
 from hearthlog.settings import DAY_SECONDS
 from hearthlog.staging import Staged, stage_measured
 
@@ -102,19 +103,20 @@ def code_ranges(boxes: pd.DataFrame) -> list[int]:
 
 
 def forest_steps(
-    spark: SparkSession, forest: Forest, period_seconds: float = DAY_SECONDS, limit_bytes: int = BROADCAST_LIMIT_BYTES
+    spark: SparkSession, forest: Forest, period_seconds: float = DAY_SECONDS, limit_bytes: int | None = None
 ) -> Steps | None:
     """The steps of each range of codes, by the cells of the period that they lie in.
 
     None if the leaves that the ranges meet, which are about as many as the steps, are
-    too many for a table of ``limit_bytes``.
+    too many for a table of ``limit_bytes``, by default as much as a lookup broadcasts.
     """
+    limit = lookups.BROADCAST_LIMIT_BYTES if limit_bytes is None else limit_bytes
     period = int(round(period_seconds * MICROS_PER_SECOND))
     boxes = leaf_boxes(forest)
     starts = code_ranges(boxes)
     lows, highs = np.sort(boxes["lo1"].to_numpy()), np.sort(boxes["hi1"].to_numpy())
     meeting = np.searchsorted(lows, starts, side="right") - np.searchsorted(highs, starts, side="right")
-    if int(meeting.sum()) * STEP_BYTES > limit_bytes or starts[-1] * STEP_BYTES > limit_bytes:
+    if int(meeting.sum()) * STEP_BYTES > limit or starts[-1] * STEP_BYTES > limit:
         return None
     cells = 1 << max(0, int(meeting.mean() / STEPS_PER_CELL)).bit_length()
     cuts = {}

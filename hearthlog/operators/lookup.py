@@ -22,19 +22,20 @@ def lookup(
     on: list[str],
     how: str = "left",
     facts_bytes: int | None = None,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
     key_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``log`` with ``facts`` on equal keys.
 
-    Facts of no more than ``limit_bytes`` are broadcast and the log is not shuffled.
+    Facts of no more than ``limit_bytes``, by default ``BROADCAST_LIMIT_BYTES``, are
+    broadcast and the log is not shuffled.
     Larger ones meet the log in a shuffle with salted hot keys. Facts whose size is not
     given are staged, so that measuring them does not compute them twice. ``key_rows``
     has the key and ``_rows``, how many rows of the log have it, if that is known.
     """
     if facts_bytes is None:
         facts, facts_bytes = stage_measured(facts, "facts")
-    if facts_bytes <= limit_bytes:
+    if facts_bytes <= (BROADCAST_LIMIT_BYTES if limit_bytes is None else limit_bytes):
         return log.join(F.broadcast(facts), on, how)
     return _salted_join(log, facts, on, how, key_rows)
 

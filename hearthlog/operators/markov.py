@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.operators.lookup import BROADCAST_LIMIT_BYTES, lookup
+from hearthlog.operators.lookup import lookup
 from hearthlog.operators.ordering import with_neighbour
 from hearthlog.staging import Staged, stage_measured
 
@@ -47,7 +47,7 @@ def with_transition_prob(
     log_with_next: DataFrame,
     transitions: Staged,
     sensor: str = "sensor",
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Add ``markov_prob``: the probability of the transition out of each reading."""
     facts = transitions.table.select(sensor, "next_sensor", F.col("p").alias("markov_prob"))
@@ -63,7 +63,7 @@ def with_transition_prob(
 
 
 def with_markov_prob(
-    log: DataFrame, order: list[str], sensor: str = "sensor", limit_bytes: int = BROADCAST_LIMIT_BYTES
+    log: DataFrame, order: list[str], sensor: str = "sensor", limit_bytes: int | None = None
 ) -> DataFrame:
     """Add ``next_sensor`` and ``markov_prob``.
 

@@ -48,3 +48,12 @@ def test_size_taken_while_writing(spark):
     staged = stage_measured(log, "facts")
     assert staged.bytes == measure(log).bytes and staged.table.count() == 500
     assert stage_measured(log.where("id > 900").groupBy("sensor").count(), "none").bytes == 0
+
+
+def test_limit_is_read_when_called(spark, monkeypatch):
+    log = make_log(spark, [(1, "a"), (2, "b")])
+    facts = spark.createDataFrame([("a", 1)], "sensor string, fact int")
+    monkeypatch.setattr("hearthlog.operators.lookup.BROADCAST_LIMIT_BYTES", 0)
+    joined = lookup(log, facts, ["sensor"])
+    assert "SortMergeJoin" in joined._jdf.queryExecution().toString()
+    assert sorted((r["sensor"], r["fact"]) for r in joined.collect()) == [("a", 1), ("b", None)]
