@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hearthlog.llm.common import fresh_names, id_text, over_batches, text_bytes, text_hash
 from hearthlog.operators.lookup import lookup
-from hearthlog.staging import stage, stage_measured
+from hearthlog.staging import Staged, stage, stage_measured
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -96,36 +96,63 @@ def passages(text: bytes) -> list[tuple[int, int, bytes]]:
 
 
 OCCURRENCE = "id string, mark long, at int, upto int, one long, two long"
+SUSPECT = "one long, two long, passage binary"
 
 
-def _occurrences(docs: DataFrame, key: str, text: str, with_bytes: bool) -> DataFrame:
-    """A row per passage: its document, first and end line, two hashes and, if wanted,
-    its bytes."""
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(id_text(F.col(key)).alias("id"), text_hash(F.col(text)).alias("mark"), F.col(text).alias("_text"))
+
+
+def _hashes(found: list[bytes]) -> dict:
+    from xxhash import xxh3_128_digest
+
+    both = np.frombuffer(b"".join([xxh3_128_digest(own) for own in found]), "<i8").reshape(-1, 2)
+    return {"one": both[:, 0], "two": both[:, 1]}
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        from xxhash import xxh3_128_digest
 
+def _occurrences(keyed: DataFrame) -> DataFrame:
+    """A row per passage: its document, first and end line, and two hashes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out, hashes, size = [], [], 0
-            columns = batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch, "_text")
-            for doc_id, mark, value in zip(*columns):
-                for at, upto, own in passages(value or b""):
-                    hashes.append(xxh3_128_digest(own))
-                    out.append((doc_id, mark, at, upto, own) if with_bytes else (doc_id, mark, at, upto))
-                    size += len(own)
-                if len(out) >= 20_000 or (with_bytes and size > 8_000_000):
-                    yield columns_of(out, hashes)
-                    out, hashes, size = [], [], 0
+            out, own = [], []
+            for doc_id, mark, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch, "_text")):
+                found = passages(value or b"")
+                out += [(doc_id, mark, at, upto) for at, upto, _ in found]
+                own.append(_hashes([passage for *_, passage in found]))
+                if len(out) >= 20_000:
+                    yield columns_of(out, own)
+                    out, own = [], []
             if out:
-                yield columns_of(out, hashes)
+                yield columns_of(out, own)
+
+    def columns_of(out: list, own: list) -> dict:
+        return dict(zip(names, zip(*out))) | {n: np.concatenate([o[n] for o in own]) for n in ("one", "two")}
 
-    def columns_of(out: list, hashes: list) -> dict:
-        both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-        return dict(zip(names, zip(*out))) | {"one": both[:, 0], "two": both[:, 1]}
+    names = ("id", "mark", "at", "upto")
+    return over_batches(keyed, rows, OCCURRENCE)
+
+
+def _suspects(keyed: DataFrame, wanted: Staged) -> DataFrame:
+    """Hashes and bytes of the ``wanted`` passages, which has those of each document."""
+    texts = lookup(keyed, wanted.table, ["id", "mark"], "inner", facts_bytes=wanted.bytes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            out, size = [], 0
+            for value, own in zip(text_bytes(batch, "_text"), batch.column("own").to_pylist()):
+                chosen = {(o["at"], o["upto"]) for o in own}
+                for at, upto, passage in passages(value or b""):
+                    if (at, upto) in chosen:
+                        out.append(passage)
+                        size += len(passage)
+                        if size > 8_000_000:
+                            yield _hashes(out) | {"passage": out}
+                            out, size = [], 0
+            if out:
+                yield _hashes(out) | {"passage": out}
 
-    names = ("id", "mark", "at", "upto", "passage")[: 5 if with_bytes else 4]
-    chosen = docs.select(id_text(F.col(key)).alias("id"), text_hash(F.col(text)).alias("mark"), F.col(text).alias("_text"))
-    return over_batches(chosen, rows, OCCURRENCE + (", passage binary" if with_bytes else ""))
+    return over_batches(texts.select("_text", "own"), rows, SUSPECT)
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,17 +163,17 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     It stays, and so does what overlaps it.
     """
     where = F.struct(F.length("id").alias("size"), "id", "mark", "at", "upto")
-    found = stage(_occurrences(docs, key, text, False), "passages")
+    keyed = _keyed(docs, key, text)
+    found = stage(_occurrences(keyed), "passages")
     hashes = ["one", "two"]
     often = stage_measured(found.groupBy(*hashes).count().where("count > 1").select(*hashes), "repeated_passages")
-    # Only passages whose hashes are repeated move with their bytes.
-    suspects = lookup(
-        _occurrences(docs, key, text, True).select(*hashes, "passage"), often.table, hashes,
-        "left_semi", facts_bytes=often.bytes,
-    )
-    same = suspects.groupBy(*hashes).agg((F.min("passage") == F.max("passage")).alias("same")).where("same")
+    suspects = stage(lookup(found, often.table, hashes, "left_semi", facts_bytes=often.bytes), "suspects")
+    # Bytes are read in the documents that have suspects, and of these only.
+    wanted = suspects.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "upto")).alias("own"))
+    read = _suspects(keyed, stage_measured(wanted, "wanted_passages"))
+    same = read.groupBy(*hashes).agg((F.min("passage") == F.max("passage")).alias("same")).where("same")
     sure = stage_measured(same.select(*hashes), "sure_passages")
-    again = stage(lookup(found, sure.table, hashes, "inner", facts_bytes=sure.bytes), "occurrences")
+    again = stage(lookup(suspects, sure.table, hashes, "inner", facts_bytes=sure.bytes), "occurrences")
     first = stage_measured(again.groupBy(*hashes).agg(F.min(where).alias("first")), "first_occurrences")
     overlaps = (F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("at") < F.col("first.upto"))
     later = lookup(again, first.table, hashes, "inner", facts_bytes=first.bytes).where(~overlaps)

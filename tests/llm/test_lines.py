@@ -1,6 +1,11 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from hearthlog.llm import lines
+from hearthlog.operators import lookup
+from hearthlog.staging import stage_measured
 
 
 def test_chunks_cover_the_text_and_resist_shifts():
@@ -72,7 +77,19 @@ def without_long_runs(rows):
     return out
 
 
-def test_every_passage_of_more_than_fifty_words_goes(spark):
+def test_bytes_are_read_of_suspects_only(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, "\n".join([f"own {i} {j} " + "w " * 30 for j in range(20)] + [shared] * (i < 2))) for i in range(20)]
+    keyed = lines._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    wanted = keyed.where("id in ('=0', '=1')").select("id", "mark", F.expr("array(named_struct('at', 20, 'upto', 21)) own"))
+    found = lines._suspects(keyed, stage_measured(wanted, "wanted")).collect()
+    assert [bytes(r["passage"]).decode() for r in found] == [shared] * 2
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_every_passage_of_more_than_fifty_words_goes(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(lookup, "BROADCAST_LIMIT_BYTES", limit)
     rng = random.Random(4)
     line = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
     passages = [[line(60)], [line(26), line(26)], [line(17) for _ in range(3)], [line(60), line(3)], [line(4), line(60)],
