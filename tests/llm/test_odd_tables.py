@@ -16,6 +16,7 @@ from hearthlog.llm import (
     substrings,
     token_counts,
 )
+from hearthlog.operators import lookup
 
 
 def bytes_as_ids():
@@ -43,8 +44,10 @@ OPERATORS = {
 SCHEMA = "doc_id {id}, text string, ids binary, chunk int, place string, run boolean, block int, spans int, n_chars long"
 
 
+@pytest.mark.parametrize("limit", [lookup.BROADCAST_LIMIT_BYTES, 0])
 @pytest.mark.parametrize("name", sorted(OPERATORS))
-def test_odd_tables(spark, name):
+def test_odd_tables(spark, monkeypatch, name, limit):
+    monkeypatch.setattr(lookup, "BROADCAST_LIMIT_BYTES", limit)
     apply = OPERATORS[name]
     items = spark.createDataFrame([(1, "one item")], "item_id long, text string")
     filler = (b"", 1, None, True, 2, 3, 4)
