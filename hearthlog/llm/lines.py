@@ -27,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LEAST_LINES = 2  # with something on them, of a chunk
 ONE_CUT_IN = 3  # lines, on average, from the least on
 WORDS = 50  # passages of more are found wherever they begin and end
+SLICE_ROWS = 200  # of a batch, that a task has as Python objects
 ROLLING = 2  # lines that decide whether a chunk ends
 _MASK, _ODD = 2**64 - 1, 0x9E3779B97F4A7C15
 
@@ -103,6 +104,13 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(id_text(F.col(key)).alias("id"), text_hash(F.col(text)).alias("mark"), F.col(text).alias("_text"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, as Python objects take much more room than Arrow."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _hashes(found: list[bytes]) -> dict:
     from xxhash import xxh3_128_digest
 
@@ -114,8 +122,8 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
     """A row per passage: its document, first and end line, and two hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            out, own = [], []
+        out, own = [], []
+        for batch in _slices(batches):
             for doc_id, mark, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch, "_text")):
                 found = passages(value or b"")
                 out += [(doc_id, mark, at, upto) for at, upto, _ in found]
@@ -123,8 +131,8 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
                 if len(out) >= 20_000:
                     yield columns_of(out, own)
                     out, own = [], []
-            if out:
-                yield columns_of(out, own)
+        if out:
+            yield columns_of(out, own)
 
     def columns_of(out: list, own: list) -> dict:
         return dict(zip(names, zip(*out))) | {n: np.concatenate([o[n] for o in own]) for n in ("one", "two")}
@@ -138,8 +146,8 @@ def _suspects(keyed: DataFrame, wanted: Staged) -> DataFrame:
     texts = lookup(keyed, wanted.table, ["id", "mark"], "inner", facts_bytes=wanted.bytes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            out, size = [], 0
+        out, size = [], 0
+        for batch in _slices(batches):
             for value, own in zip(text_bytes(batch, "_text"), batch.column("own").to_pylist()):
                 chosen = {(o["at"], o["upto"]) for o in own}
                 for at, upto, passage in passages(value or b""):
@@ -149,8 +157,8 @@ def _suspects(keyed: DataFrame, wanted: Staged) -> DataFrame:
                         if size > 8_000_000:
                             yield _hashes(out) | {"passage": out}
                             out, size = [], 0
-            if out:
-                yield _hashes(out) | {"passage": out}
+        if out:
+            yield _hashes(out) | {"passage": out}
 
     return over_batches(texts.select("_text", "own"), rows, SUSPECT)
 
