@@ -98,7 +98,7 @@ def _gap(window: int) -> int:
     return max(window, SLOP)
 
 
-def postings(docs: DataFrame, tests, window: int, key: str, text: str) -> DataFrame:
+def postings(docs: DataFrame, terms, window: int, key: str, text: str) -> DataFrame:
     """The index: a row per shard and test term, and one (term -1) with the shard's documents.
 
     Positions count words within a shard; documents lie so far apart that neither a
@@ -122,7 +122,7 @@ def postings(docs: DataFrame, tests, window: int, key: str, text: str) -> DataFr
         return dict(zip(names, zip(*out)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        term_of, shard = tests.value.terms.get, TaskContext.get().partitionId() << 24
+        term_of, shard = terms.value.get, TaskContext.get().partitionId() << 24
         apart = np.full(_gap(window), -1, np.int32)
         keys, found, size = [], [], 0
         for batch in batches:
@@ -316,8 +316,8 @@ def benchmark_matches(
 
 def _match_block(docs: DataFrame, test_set: TestSet, window: int, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(test_set)
-    index = stage(postings(docs, shared, window, key, text), "postings")
+    terms = spark.sparkContext.broadcast(test_set.terms)
+    index = stage(postings(docs, terms, window, key, text), "postings")
     counts = index.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).collect()
     rarity = np.zeros(len(test_set.terms), dtype=np.int64)
     for row in counts:  # one row per term of the block
