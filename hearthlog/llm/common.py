@@ -15,6 +15,8 @@ from hearthlog.staging import Staged
 # Workers need not have this package: what they run travels with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BATCH_BYTES = 4_000_000  # of rows that a Python worker is sent at a time
+
 _LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
     for b in range(256)
@@ -39,8 +41,18 @@ def kept_by_worker(name: str, make: Callable):
     return getattr(holder, name)
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Arrow batches of the session end at ``BATCH_BYTES``, unless it has a bound of its
+    own. Spark's 10,000 rows are a few megabytes of ids and many of long texts, which the
+    executor and its workers hold several times over."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def over_batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator], schema: str):
     """``mapInArrow``, where ``rows`` yields dictionaries of columns."""
+    bound_batches(df)
     fields = df.sparkSession.createDataFrame([], schema).schema
     arrow = _arrow_schema(fields)
 

@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import bounded_sample, fresh_names, letter_words, over_batches, text_bytes
+from hearthlog.llm.common import bound_batches, bounded_sample, fresh_names, letter_words, over_batches, text_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -216,6 +216,7 @@ def with_quality(
 ) -> DataFrame:
     """``docs`` with the expected grade and the chance of the best one; a null text is
     an empty one, and all other columns are kept."""
+    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator) -> Iterator:
