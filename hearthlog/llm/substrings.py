@@ -7,6 +7,11 @@ its strings can reach are its context. Where all contexts of an anchor are alike
 everything repeats. Where they differ, their stretches between the places at which any
 two of them part become symbols, and a suffix array of the contexts in these symbols
 gives for each start the longest string that another context shares.
+
+An anchor of very many contexts is split by what stands around it: strings that have it
+at distances of one piece share the bytes that all of them reach, so each context goes to
+one group for each piece, whatever the number of contexts. Where many contexts agree in
+these bytes too, the few strings of the piece are counted themselves.
 """
 
 import sys
@@ -18,16 +23,17 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import in_blocks, over_batches, text_bytes
+from hearthlog.llm.common import over_batches, text_bytes
 from hearthlog.llm.suffixes import common_prefixes, suffix_array
 from hearthlog.operators.lookup import lookup
-from hearthlog.staging import stage, stage_measured
+from hearthlog.staging import Staged, stage, stage_measured
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 200  # bytes
 K = 32  # bytes of an anchor
-BLOCK = 4000  # contexts of an anchor in one task's share
+BLOCK = 4000  # contexts that are compared at one time
+PIECES = 8  # of the distances from start to anchor, where an anchor has more contexts
 PLACE_BITS = 20  # of a place within the stretch of a text that is looked at together
 _ODDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -233,16 +239,67 @@ def _contexts(marked: DataFrame, wanted: DataFrame, wanted_bytes: int, length: i
     return over_batches(texts.select("_text", "own"), rows, "anchor long, context long, bytes binary, at int, last int")
 
 
-def _compared(contexts: DataFrame, large, length: int) -> DataFrame:
-    """``anchor, context, near, far``: runs of distances of repeated strings."""
-    partitions = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = (
-        in_blocks(contexts, ["anchor"], large, "context")
-        .withColumn("group", F.xxhash64("anchor", "block"))
-        .repartition(partitions, "group")
-        .sortWithinPartitions("group")
-        .select("group", "anchor", "context", "bytes", "at", "last")
+def _pieces(contexts: DataFrame, length: int) -> DataFrame:
+    """A row per context and piece of distances that its strings have: ``low`` and ``high``
+    of these, and ``group``, the hash of the anchor, the piece and the bytes that all strings
+    of the piece have in common around the anchor."""
+    cuts = [(length - K + 1) * j // PIECES for j in range(PIECES + 1)]
+    nearest, farthest = F.col("at") - F.col("last"), F.col("at")
+    pieces = []
+    for low, high in ((a, b - 1) for a, b in zip(cuts, cuts[1:]) if a < b):
+        core = F.substring("bytes", F.col("at") - low + 1, F.lit(low + length - high))
+        piece = F.struct(
+            F.xxhash64("anchor", F.lit(low), core).alias("group"),
+            F.greatest(F.lit(low), nearest).alias("low"), F.least(F.lit(high), farthest).alias("high"),
+        )
+        pieces.append(F.when((nearest <= high) & (farthest >= low), piece))
+    found = contexts.withColumn("piece", F.explode(F.array_compact(F.array(*pieces))))
+    return found.select("piece.group", "anchor", "context", "bytes", "at", "last", "piece.low", "piece.high")
+
+
+def _counted(pieces: DataFrame, length: int) -> DataFrame:
+    """``anchor, context, near, far`` of the strings of each piece that several contexts have,
+    by 128 bits of hash: a row per string, and none per pair."""
+    string = F.substring("bytes", F.col("at") - F.col("far") + 1, F.lit(length))
+    hashed = ["anchor", "far", "one", "two"]
+    strings = stage(
+        pieces.withColumn("far", F.explode(F.sequence("low", "high")))
+        .select("anchor", "context", "far", F.xxhash64(string).alias("one"), F.xxhash64(F.lit(1), string).alias("two")),
+        "strings",
+    )
+    repeated = stage_measured(
+        strings.groupBy(*hashed).agg((F.min("context") < F.max("context")).alias("several")).where("several").select(*hashed),
+        "repeated_strings",
+    )
+    again = lookup(strings, repeated.table, hashed, "inner", facts_bytes=repeated.bytes)
+    return again.select("anchor", "context", F.col("far").alias("near"), "far")
+
+
+def _compared(contexts: DataFrame, large: Staged, length: int) -> DataFrame:
+    """``anchor, context, near, far``: runs of distances of repeated strings. ``large`` has
+    the anchors of more than ``BLOCK`` contexts."""
+    columns = ["group", "anchor", "context", "bytes", "at", "last"]
+    whole = contexts.withColumn("group", F.xxhash64("anchor"))
+    if not large.bytes:
+        return _by_suffixes(whole.select(*columns), length)
+    whole = stage(whole, "context_bytes")
+    some = lookup(whole, large.table, ["anchor"], "left_anti", facts_bytes=large.bytes)
+    many = lookup(whole, large.table, ["anchor"], "left_semi", facts_bytes=large.bytes)
+    pieces = stage(_pieces(many.drop("group"), length), "pieces")
+    dense = stage_measured(
+        pieces.groupBy("group").agg(F.count_distinct("context").alias("n")).where(F.col("n") > BLOCK).select("group"), "dense"
     )
+    sparse = lookup(pieces, dense.table, ["group"], "left_anti", facts_bytes=dense.bytes)
+    found = _by_suffixes(some.select(*columns).unionByName(sparse.select(*columns)), length)
+    if not dense.bytes:
+        return found
+    return found.unionByName(_counted(lookup(pieces, dense.table, ["group"], "left_semi", facts_bytes=dense.bytes), length))
+
+
+def _by_suffixes(grouped: DataFrame, length: int) -> DataFrame:
+    """``anchor, context, near, far`` by a suffix array for each ``group``."""
+    partitions = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = grouped.repartition(partitions, "group").sortWithinPartitions("group")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         current, own = None, {}
@@ -295,8 +352,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     )
     large = stage_measured(
         varied.table.groupBy("anchor")
-        .agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        .where("blocks > 1"),
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > BLOCK)
+        .select("anchor"),
         "large_anchors",
     )
     runs = _compared(_contexts(marked, wanted.table, wanted.bytes, length), large, length)

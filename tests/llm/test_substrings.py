@@ -68,6 +68,47 @@ def test_removed_bytes_are_those_of_brute_force(spark, monkeypatch, block):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == e, i
 
 
+def contexts_of_one_anchor(spark, n):
+    """Contexts that all have the anchor, and many of them its surroundings too."""
+    rng, anchor, rows = random.Random(n), bytes(range(200, 200 + substrings.K)), []
+    stock = [bytes(rng.choices(b"ab", k=170)) for _ in range(4)]
+    for number in range(n):
+        left, right = rng.choice(stock), rng.choice(stock)
+        put = lambda b: bytes([*b[: (at := rng.randrange(len(b)))], 99, *b[at + 1 :]])
+        left, right = (put(left), put(right)) if number % 5 else (left, right)
+        first = rng.randint(2, 168)  # farthest distance
+        left, right = left[-first:], right[: rng.randint(168 - first, 168)]
+        value = left + anchor + right
+        rows.append((7, number, value, len(left), min(len(value) - substrings.LENGTH, len(left))))
+    return [r for r in rows if r[4] >= 0]
+
+
+@pytest.mark.parametrize("block", [4000, 60, 3])
+def test_one_anchor_of_many_contexts(spark, monkeypatch, block):
+    """Whether compared at once, by pieces or by strings, the same starts are repeated, and
+    a context makes as many rows as there are pieces at most."""
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    rows = contexts_of_one_anchor(spark, 400)
+    contexts = spark.createDataFrame(rows, "anchor long, context long, bytes binary, at int, last int").repartition(5)
+    large = substrings.stage_measured(
+        contexts.groupBy("anchor").count().where(f"count > {block}").select("anchor"), "large"
+    )
+    assert bool(large.bytes) == (block < 400)
+    got = {
+        (r["context"], far)
+        for r in substrings._compared(contexts, large, substrings.LENGTH).collect()
+        for far in range(r["near"], r["far"] + 1)
+    }
+    seen = Counter()
+    strings = {}
+    for _, context, value, at, last in rows:
+        for start in range(last + 1):
+            strings[context, at - start] = at - start, value[start : start + substrings.LENGTH]
+    seen = Counter(strings.values())
+    assert got == {k for k, v in strings.items() if seen[v] > 1} and got
+    assert substrings._pieces(contexts, substrings.LENGTH).count() <= substrings.PIECES * len(rows)
+
+
 def test_anchors_of_texts_longer_than_a_stretch(monkeypatch):
     monkeypatch.setattr(substrings, "PLACE_BITS", 9)
     rng = random.Random(8)
