@@ -680,8 +680,9 @@ def _interval_overlay(spark, sf_dir):
         F.col("event_id").alias("span_id"), (F.col("dt") - back).alias("span_start"), (F.col("dt") + forth).alias("span_end")
     )
     low = reports.point_anomalies(log, "value", 2.0, place=["event_id"])
-    found = intervals.readings_in_intervals(low, spans, start="span_start", end="span_end")
-    return found.groupBy("span_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return intervals.readings_in_intervals(
+        low, spans, start="span_start", end="span_end", per=["span_id"], count="n", sums={"ids": "event_id"}
+    )
 
 
 @_query(

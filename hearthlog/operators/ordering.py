@@ -152,3 +152,20 @@ def with_position(table: DataFrame, order: list[str], name: str) -> DataFrame:
     return staged.join(F.broadcast(before), "_chunk").select(
         *table.columns, (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias(name)
     )
+
+
+def with_running_totals(table: DataFrame, by: str, totals: dict[str, str]) -> DataFrame:
+    """Add, for each column named in ``totals``, its sum up to this row in the order of
+    ``by``, whose values must differ. The columns may not be null."""
+    staged = stage(_chunked(table, [by]).withColumn("_chunk", F.spark_partition_id()), "running")
+    # One row per non-empty chunk, so never more than spark.sql.shuffle.partitions.
+    per_chunk = staged.groupBy("_chunk").agg(*[F.sum(c).cast(table.schema[c].dataType).alias(c) for c in totals])
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_chunk.select("_chunk", *[F.sum(c).over(earlier).alias(f"_before_{n}") for c, n in totals.items()])
+    so_far = Window.partitionBy("_chunk").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def total(column: str, name: str) -> Column:
+        kind = table.schema[column].dataType
+        return (F.sum(column).over(so_far).cast(kind) + F.coalesce(F.col(f"_before_{name}"), F.lit(0)).cast(kind)).cast(kind)
+
+    return staged.join(F.broadcast(before), "_chunk").select(*table.columns, *[total(c, n).alias(n) for c, n in totals.items()])
