@@ -126,3 +126,66 @@ def test_a_rare_kind_has_all_of_its_candidates(spark):
     again = pii.sampled(rows.repartition(2), 50)
     assert found == again
     assert pii.sampled(rows.where("false"), 50) == []
+
+
+def candidates(spark, n):
+    """Phones that a rule confirms or not, more of each class than any sample had; of those
+    with many digits one in 300 is not confirmed."""
+    rows = spark.range(n).selectExpr("if(id % 50 = 0, 0, 3) as kind", "id", "xxhash64(7, id) as h")
+    rows = rows.selectExpr("kind", "id", "h", "pmod(h, 9) as a", "pmod(shiftright(h, 8), 40) as b")
+    return rows.selectExpr(
+        "kind", "array(cast(a as float), cast(b as float), cast(pmod(shiftright(h, 16), 3) as float)) as features",
+        "if(a >= 5, pmod(shiftright(h, 24), 300) != 0, a = 4 and b > 30) as confirmed", "cast(pmod(shiftright(h, 34), 4) as int) as fold",
+    )
+
+
+def test_trees_and_thresholds_come_from_every_candidate(spark, monkeypatch):
+    rows, seen, plain_fit = candidates(spark, 60_000).repartition(5), [], pii.fit_trees_over
+
+    def fit(binned, labels, folds):
+        seen.append((binned, labels, plain_fit(binned, labels, folds)))
+        return seen[-1][-1]
+
+    monkeypatch.setattr(pii, "fit_trees_over", fit)
+    judge = pii.fit_judge(rows)
+    ((binned, labels, fitted),) = seen
+    assert binned.table.groupBy().sum("n").first()[0] == 60_000
+    assert [f.n.sum() for f in fitted] == [60_000] * len(labels)
+    all_rows = rows.collect()
+    x = np.array([r["features"] for r in all_rows], dtype=float)
+    fold, kind, sure = [np.array([r[c] for r in all_rows]) for c in ("fold", "kind", "confirmed")]
+    for label in labels:
+        truth, odds = sure & (kind == label), np.zeros(len(x))
+        if label not in judge.trees:
+            continue
+        for f, model in judge.trees[label].items():
+            odds[fold == f] = boosting.log_odds(model, x[fold == f])
+        precise = [o for o in np.unique(odds) if truth[odds >= o].mean() >= pii.PRECISION]
+        assert judge.limits[label] == max(np.log(0.9 / (1 - 0.9)), min(precise))
+    assert 3 in judge.trees
+
+
+def test_passes_of_spark_and_of_the_driver_give_the_same_trees(spark, monkeypatch):
+    rows, found = candidates(spark, 9000), []
+    monkeypatch.setattr(pii, "fit_trees_over", lambda b, labels, folds: found.append((b.held is None, boosting.fit_trees_over(b, labels, folds, 2))) or found[-1][1])
+    pii.fit_judge(rows.repartition(3), 0)
+    pii.fit_judge(rows.repartition(7))
+    (passes, a), (whole, b) = found
+    assert passes and not whole
+    for one, two in zip(a, b):
+        assert all(np.array_equal(x, y) for x, y in zip(one[1:], two[1:]))
+        for fold in range(pii.FOLDS):
+            assert all(np.array_equal(x, y) for x, y in zip(one.models[fold], two.models[fold]))
+
+
+def test_fit_over_a_table_is_the_fit_of_its_rows(spark):
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 6, (900, 4)).astype(np.int8)
+    yes, fold = (bins[:, 0] > 3) ^ (rng.random(900) < 0.1), np.arange(900) % 4
+    data = [(b.tolist(), int(y) - 1, int(f), 2.0, 2) for b, y, f in zip(bins, yes, fold)]
+    table = spark.createDataFrame(data, "bins array<tinyint>, label int, fold int, weight double, n bigint")
+    (found,) = boosting.fit_trees_over(boosting.Binned(table, 4, table.toArrow()), [0], 4, trees=5)
+    twice = np.repeat(np.arange(900), 2)
+    for f in range(4):
+        own = boosting.fit_trees(bins[twice].astype(float), yes[twice], fold[twice] == f, trees=5)
+        assert np.allclose(boosting.margins(own, bins.astype(float)), boosting.margins(found.models[f], bins))
